@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op6_html_text
+from .nbsvm import op5_quality_classifier
+from .repetition import op1_quality_rules
 from .secrets import op8_secrets
 from .token_counts import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts, "op8_secrets": op8_secrets}
+    return {"op1_quality_rules": op1_quality_rules, "op5_quality_classifier": op5_quality_classifier, "op6_html_text": op6_html_text, "op4_token_counts": op4_token_counts, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
