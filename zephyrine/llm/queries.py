@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op9_bpe
 from .html_text import op6_html_text
+from .katz import op3_katz
 from .nbsvm import op5_quality_classifier
 from .repetition import op1_quality_rules
 from .secrets import op8_secrets
@@ -14,7 +16,15 @@ from .token_counts import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op5_quality_classifier": op5_quality_classifier, "op6_html_text": op6_html_text, "op4_token_counts": op4_token_counts, "op8_secrets": op8_secrets}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op3_katz": op3_katz,
+        "op4_token_counts": op4_token_counts,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op6_html_text": op6_html_text,
+        "op8_secrets": op8_secrets,
+        "op9_bpe": op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
