@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe
 from .html_text import op6_html_text
 from .katz import op3_katz
+from .near_dup import op2_near_duplicates
 from .nbsvm import op5_quality_classifier
 from .repetition import op1_quality_rules
 from .secrets import op8_secrets
@@ -18,6 +19,7 @@ from .token_counts import op4_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_katz": op3_katz,
         "op4_token_counts": op4_token_counts,
         "op5_quality_classifier": op5_quality_classifier,
