@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe
 from .html_text import op6_html_text
 from .katz import op3_katz
+from .latent import op7_decontamination
 from .near_dup import op2_near_duplicates
 from .nbsvm import op5_quality_classifier
 from .repetition import op1_quality_rules
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_html_text": op6_html_text,
+        "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
         "op9_bpe": op9_bpe,
     }
