@@ -368,18 +368,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("key").alias(key), "n_shingles", comp_id.alias("component_id"), F.coalesce(comp_id == F.col("key"), F.lit(True)).alias("kept"))
 
 
-def _blocks(open_: DataFrame, with_sketch: DataFrame, small: int) -> DataFrame:
-    """Members dealt to pairs of blocks of about half a small node, so that all pairs of a node meet."""
+def _blocks_of(open_: DataFrame, members: DataFrame, small: int) -> DataFrame:
+    """Members dealt to pairs of blocks of a quarter of a small node, so that all pairs of a node meet."""
     n = open_.groupBy("path").agg(F.ceil(F.count("*") * 4 / small).cast("long").alias("blocks"))
-    mine = with_sketch.join(n, "path").withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks")))
+    mine = members.join(n, "path").withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks")))
     dealt = mine.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    node = F.xxhash64("path", F.least("i", "k"), F.greatest("i", "k"))
+    return dealt.withColumn("path", F.xxhash64("path", F.least("i", "k"), F.greatest("i", "k")))
+
 
+def _blocks(open_: DataFrame, with_sketch: DataFrame, small: int) -> DataFrame:
     def bytes_only(batches):
         for b in batches:
             yield _path_rows(b.column(0).to_numpy().view(U), b.column(1).to_numpy(), _small(_sketch_rows(b.column(2))))
 
-    return dealt.select(node.alias("path"), "g", "sketch").mapInArrow(bytes_only, "path long, g long, small binary")
+    return _blocks_of(open_, with_sketch, small).select("path", "g", "sketch").mapInArrow(bytes_only, "path long, g long, small binary")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:

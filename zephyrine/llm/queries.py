@@ -10,6 +10,7 @@ from .bpe import op9_bpe
 from .html_text import op6_html_text
 from .katz import op3_katz
 from .latent import op7_decontamination
+from .line_dedup import op10_line_dedup
 from .near_dup import op2_near_duplicates
 from .nbsvm import op5_quality_classifier
 from .repetition import op1_quality_rules
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
         "op9_bpe": op9_bpe,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
