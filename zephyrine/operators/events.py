@@ -131,7 +131,7 @@ def stl_scores(df: DataFrame, value: str, date: str = "date", period: int = 24,
             score[ok] = np.abs(r - q2) / max(q3 - q1, 1e-12)
         return pdf.assign(score=score)
 
-    keys = [col(group)] if group else [F.lit(0)]
+    keys = [col(group)] if group else [F.lit("all")]
     return df.groupBy(*keys).applyInPandas(one, df.withColumn("score", F.lit(0.0)).schema)
 
 

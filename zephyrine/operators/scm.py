@@ -61,12 +61,14 @@ def run_tasks(panel: DataFrame, tasks: DataFrame, method: str = "scm", **setting
             pre = pd.to_datetime(pd.Series(w.index)).to_numpy() < cut.to_datetime64()
             r = fit(y, m, pre, **settings)
             s = np.asarray(r["synthetic"], float)
-            path = pd.DataFrame({"kind": "path", "date": w.index, "observed": y, "synthetic": s, "effect": y - s, "low": y - r["synthetic_high"] if "synthetic_high" in r else np.nan, "high": y - r["synthetic_low"] if "synthetic_low" in r else np.nan})
-            weights = pd.DataFrame({"kind": "weight", "unit": donors, "weight": r["weights"], "low": r.get("weights_low", np.nan), "high": r.get("weights_high", np.nan)})
-            out = pd.concat([path, weights], ignore_index=True)
+            low, high = (y - r["synthetic_high"], y - r["synthetic_low"]) if "synthetic_high" in r else (np.full(len(y), np.nan),) * 2
+            nothing = np.full(len(donors), np.nan)
+            rows = [(task, "path", d, None, *v, None, None) for d, *v in zip(w.index, y, s, y - s, low, high, strict=True)]
+            rows += [(task, "weight", None, u, None, None, None, lo, hi, v, None) for u, v, lo, hi in zip(donors, r["weights"], r.get("weights_low", nothing), r.get("weights_high", nothing), strict=True)]
         except Exception as e:
-            out = pd.DataFrame({"kind": ["error"], "error": [str(e)[:300]]})
-        return out.assign(task=task).reindex(columns=names)
+            rows = [(task, "error", *[None] * 8, str(e)[:300])]
+        out = pd.DataFrame(rows, columns=names, dtype=object)
+        return out.astype(dict.fromkeys(("observed", "synthetic", "effect", "low", "high", "weight"), float))
 
     return x.groupBy("task").applyInPandas(one, PATH)
 
@@ -245,7 +247,7 @@ def conformal_interval(path: DataFrame, cutoff, n_perm: int | None = 1000, level
         s = e.sparkSession.range(n_perm).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(r.pre + 1)).alias("i"))
         x = x.join(s, "i")
     att = float(r.att)
-    return x.agg(F.lit(att).alias("att"), ((F.count_if(F.abs("m") >= abs(att)) + 1) / (F.count("*") + 1)).alias("p_value"), F.percentile(F.abs("m"), level).alias("half_width"), F.count("*").alias("n")).select("att", "p_value", "half_width", (F.col("att") - F.col("half_width")).alias("low"), (F.col("att") + F.col("half_width")).alias("high"), "n")
+    return x.agg(F.lit(att).alias("att"), ((F.count_if(F.abs("m") >= abs(att) - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"), F.percentile(F.abs("m"), level).alias("half_width"), F.count("*").alias("n")).select("att", "p_value", "half_width", (F.col("att") - F.col("half_width")).alias("low"), (F.col("att") + F.col("half_width")).alias("high"), "n")
 
 
 def rmspe_ratios(effects: DataFrame, cutoff) -> DataFrame:
