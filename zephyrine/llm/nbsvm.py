@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_dup import BITS, bitmap
+from .spill import stored
 from .textops import columns, combine, mix, slices, words
 
 U = np.uint64
@@ -207,10 +209,27 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, text, label) of the labelled documents, stored.
+
+    Documents pass a bitmap of the labelled ids (2 MB, whatever their number) where they are read, so
+    that only labelled texts are shuffled; the join behind it is exact.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << BITS)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(labels.where("key is not null").select(place.alias("x"))))
+
+    def marked(batches):
+        bits = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            yield b.select(["key", "text"]).filter(pa.array(bits[b.column(2).to_numpy() - 1]))
+
+    src = docs.where("key is not null").select("key", "text", place.alias("x")).mapInArrow(marked, "key long, text string")
+    return stored(src.join(labels.hint("merge"), "key"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
-    learn = labels.where(fold(F.col("label_id"), 3) != 1)
-    labelled = docs.join(learn, docs.doc_id == learn.label_id).select(F.col("doc_id").alias("key"), "text", "label")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    labelled = with_labels(docs.withColumnRenamed("doc_id", "key"), labels.where(fold(F.col("key"), 3) != 1))
     out = score(docs, train(labelled))
-    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
