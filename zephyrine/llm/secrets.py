@@ -36,7 +36,8 @@ RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0987654321", "poiuytrewq", "lkjhgfdsa", "mnbvcxz")
 LEET = str.maketrans("@431!05$7", "aaeiiosst")
 NEXT = {a + b for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)}
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+_YEAR, _MONTH, _DAY, _SEP = "(?:19|20)\\d\\d", "(?:1[0-2]|0?[1-9])", "(?:[12]\\d|3[01]|0?[1-9])", "[-/._]?"
+DATES = [re.compile(x) for x in (_YEAR + _SEP + _MONTH + _SEP + _DAY, _DAY + _SEP + _MONTH + _SEP + _YEAR, _YEAR)]
 LONGEST_WORD = max(map(len, COMMON_WORDS))
 
 
@@ -78,8 +79,9 @@ def guess_cost(value: str) -> float:
         while j < n and low[j - 1] + low[j] in NEXT:
             j += 1
         pieces[i].extend((k, math.log10(47 * (k - i))) for k in range(i + 3, j + 1))
-    for m in DATE.finditer(value):
-        pieces[m.start()].append((m.end(), math.log10(119 if m.end() - m.start() == 4 else 365 * 119)))
+        for form in DATES:
+            if m := form.match(value, i):
+                pieces[i].append((m.end(), math.log10(119 if m.end() - i == 4 else 365 * 119)))
     best = [math.inf] * (n + 1)
     best[0] = 0.0
     brute = [0.0] + [math.log10(_size(c)) for c in value]
