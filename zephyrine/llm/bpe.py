@@ -82,11 +82,11 @@ def encode_words(path: str, todo: list[str]) -> list[str]:
     return out
 
 
-def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False, store: bool = True) -> DataFrame:
     """One row per input row: key, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the
-    ids (array of int) and the decoded text."""
-    pieces = P.cut(df, key, text)
-    n_pieces = pieces.count()
+    ids (array of int) and the decoded text. ``store=False`` is for plain reads of files (see ``cut``)."""
+    pieces = P.cut(df, key, text, store=store)
+    n_pieces = P.count_of(df, text)
     buckets = P.buckets_for(pieces, n_pieces)
 
     def questions(piece: int, body: bytes) -> Iterator:
@@ -108,8 +108,10 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     def finish(_: int, body: bytes, answers: list) -> Iterator[pa.RecordBatch]:
         key_of, data, off = P.texts_of(body)
-        _, _, _, doc, inverse = distinct(data, off)
+        keys, _, _, doc, inverse = distinct(data, off)
         ids = [x for _, _, _, b in answers for x in unzip_lines(b)]
+        if len(ids) != len(keys):
+            raise ValueError("the answers are not this piece's")
         pieces_of = vocabulary(tokenizer)
         decoded = [" ".join([pieces_of[int(i)] for i in x.split()]) for x in ids]
         sizes = np.array([x.count(" ") + 1 if x else 0 for x in ids] or [0], np.int64)
@@ -134,4 +136,4 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), store=False)

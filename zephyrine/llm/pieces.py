@@ -77,8 +77,13 @@ def rows(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], NAMES)
 
 
-def cut(df: DataFrame, key: str, text: str, most: int = PIECE_BYTES) -> DataFrame:
-    """Texts as pieces of about ``most`` bytes (a longer text is a piece of its own), stored."""
+def cut(df: DataFrame, key: str, text: str, store: bool = True, most: int = PIECE_BYTES) -> DataFrame:
+    """Texts as pieces of about ``most`` bytes (a longer text is a piece of its own).
+
+    Stored, the pieces can come from any plan. Without, they are cut anew each time they are read,
+    which saves their space and is for plain reads of files, whose rows come in the same order
+    every time; if they should not, the answers don't fit their piece and the job stops.
+    """
 
     def run(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
@@ -115,7 +120,13 @@ def cut(df: DataFrame, key: str, text: str, most: int = PIECE_BYTES) -> DataFram
         if (row := emit()) is not None:
             yield row
 
-    return stored(df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text")).mapInArrow(run, ROW))
+    out = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text")).mapInArrow(run, ROW)
+    return stored(out) if store else out
+
+
+def count_of(df: DataFrame, text: str, most: int = PIECE_BYTES) -> int:
+    """About how many pieces the texts make."""
+    return int(df.agg(F.sum(F.octet_length(df[text].cast("string")))).first()[0] or 0) // most + 1
 
 
 def texts_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
