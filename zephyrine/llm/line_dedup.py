@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dup import BITS, PairJoin, _blocks_of, bitmap
+from .near_dup import BITS, PairJoin, bitmap
 from .pieces import bounds, join, pack, pack_sorted, split, unpack, unpack_sorted
 from .spill import stored
 from .textops import columns, combine, mix, slices
@@ -257,21 +257,18 @@ class LineJoin(PairJoin):
 
         one = pairs.select("a", "b").join(text.withColumnsRenamed({"g": "a", "line": "x"}), "a")
         two = one.join(text.withColumnsRenamed({"g": "b", "line": "y"}), "b").select("a", "b", "x", "y")
-        return two.mapInArrow(run, "a long, b long").distinct()
+        return two.mapInArrow(run, "a long, b long")
 
     def run(self, buckets: int) -> DataFrame | None:
         """Components of near lines: (node, label); None if no two lines are near."""
         nodes = stored(self.matches(buckets))
         self.texts = stored(self.fetch(nodes.select("g").distinct()))
         with_small = nodes.join(self.texts.select("g", "small"), "g").select("path", "g", "small")
-        for again in (False, True):
-            pairs, large = self.candidates(with_small)
-            if pairs.limit(1).count():
-                self.absorb(pairs)
-            open_ = stored(self.unresolved(large))
-            if again or not open_.limit(1).count():
-                break
-            with_small = _blocks_of(open_, open_.join(self.texts.select("g", "small"), "g"), self.small).select("path", "g", "small")
+        pairs, large = self.candidates(with_small)
+        self.absorb(pairs)
+        open_ = stored(self.unresolved(large))
+        if open_.limit(1).count():
+            self.finish(open_)
         return self.labels
 
 

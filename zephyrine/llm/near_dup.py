@@ -5,12 +5,15 @@ A text's set is its distinct w-word shingles. Texts with equal sets are one *cla
 ``trees`` independent trees a class follows, from every node, ``branch`` coordinates that the node
 picks by its own hash, to the child named by its minwise token there; so each class knows its
 nodes without seeing others, and a pair of similarity s meets in a child with probability s for
-each coordinate. Starting at depth ``first``, nodes of at most ``small`` classes are compared exhaustively by
-their sketches of ``SKETCH`` bytes, inside one task, and the pairs that may be similar come out. A larger node links all its classes to its
-smallest one (a star, linear in its size), links are confirmed on the full sets, and it is branched again only if its
-classes then lie in more than one component: a dense group of near copies ends as soon as it is
-one component, and all others get small with depth. At depth ``last`` what is left is compared exhaustively
-in blocks. Every link is confirmed on full sets; pairs within one component need no confirmation.
+each coordinate. Starting at depth
+``first``, nodes of at most ``small`` classes are compared exhaustively by their sketches, inside one
+task, and the pairs that may be similar come out. A larger node links all its classes to its
+smallest one (a star, linear in its size), links are confirmed on the full sets, and it goes on only
+if its classes then lie in more than one component: a dense group of near copies ends as soon as it
+is one component. What goes on is branched again while it is larger than ``BLOCKED``, and else
+compared exhaustively in blocks, of which only pairs between components come out; so is what is left
+at depth ``last``. Every link is confirmed on full sets; pairs within one component need no
+confirmation, and none is tried twice.
 
 Chance of missing a pair: at similarity 0.8 a tree with branch 2 misses it with 0.06, four trees
 with 1.3e-5; above that less. A sketch hides a true link with less than 2e-6.
@@ -42,6 +45,7 @@ MULTIPLY = _RNG.integers(1, 2**63, SKETCH, dtype=U) * U(2) + U(1)
 ADD = _RNG.integers(0, 2**63, SKETCH, dtype=U)
 AGREE = 35  # of 64; a pair of similarity 0.8 has fewer with probability under 2e-6
 BITS = 24
+BLOCKED = 4096  # members of a node that is compared in blocks rather than branched
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -168,22 +172,22 @@ def _bytes_of(col, n: int) -> np.ndarray:
 
 
 def _compare_nodes(agree_of, least: int):
-    """Rows (members: array of (g, small)) of small nodes -> candidate pairs of a node, with the agreement."""
+    """Rows (members: array of (g, label, small)) of small nodes -> candidate pairs of a node that lie in two components."""
 
     def run(batches):
         for b in batches:
             col = b.column(0)
             lens = col.value_lengths().to_numpy()
             flat = col.flatten()
-            g = flat.field("g").to_numpy()
+            g, label = flat.field("g").to_numpy(), flat.field("label").to_numpy()
             node = np.repeat(np.arange(len(lens)), lens)
             small = _bytes_of(flat.field("small"), len(g))
             for shift in range(1, int(lens.max()) if len(lens) else 0):
-                x = np.flatnonzero(node[shift:] == node[:-shift])
+                x = np.flatnonzero((node[shift:] == node[:-shift]) & (label[shift:] != label[:-shift]))
                 for k in range(0, len(x), 100_000):
                     i = x[k : k + 100_000]
                     agree = agree_of(small[i], small[i + shift])
-                    ok = (agree >= least) & (g[i] != g[i + shift])
+                    ok = agree >= least
                     if ok.any():
                         a, c = g[i[ok]], g[i[ok] + shift]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(agree[ok].astype(np.int32))], ["a", "b", "agree"])
@@ -223,13 +227,19 @@ class PairJoin:
 
     agree_of = staticmethod(agreement)
     least = AGREE
-    small = 48
+    small = 128
     spark: SparkSession
-    labels: DataFrame | None = None
+    labels: DataFrame | None = None  # (node, label) of classes that have links
+    tried: DataFrame | None = None  # pairs that have been confirmed or refuted
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def compare(self, members: DataFrame) -> DataFrame:
+        """Candidate pairs of small nodes given as (path, g, label, small)."""
+        lists = members.groupBy("path").agg(F.collect_list(F.struct("g", "label", "small")).alias("m")).select("m")
+        return lists.mapInArrow(_compare_nodes(self.agree_of, self.least), PAIRS)
+
     def candidates(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(candidate pairs, members of large nodes) of nodes given as (path, g, small)."""
         members = stored(members)
@@ -238,16 +248,12 @@ class PairJoin:
         flat = nodes.select("path", "n", F.col("p.g").alias("pivot"), F.col("p.small").alias("pivot_small"))
         hot_size = max(self.small, total // 1000)
         hot = F.broadcast(flat.where(F.col("n") > hot_size))  # fewer than 1000 rows
-        in_hot = members.join(hot, "path")
         rest = members.join(F.broadcast(flat.where(F.col("n") > hot_size).select("path")), "path", "left_anti")
-        in_large = rest.join(flat.where((F.col("n") > self.small) & (F.col("n") <= hot_size)), "path")
-        large = in_hot.unionByName(in_large)
+        mine = rest.join(flat.where(F.col("n") <= hot_size), "path")
+        large = stored(members.join(hot, "path").unionByName(mine.where(F.col("n") > self.small)))
         star = large.where("g <> pivot").select("g", "small", "pivot", "pivot_small").mapInArrow(_compare_star(self.agree_of, self.least), PAIRS)
-        in_small = rest.join(flat.where(F.col("n") <= self.small).select("path"), "path")
-        lists = in_small.groupBy("path").agg(F.collect_list(F.struct("g", "small")).alias("m")).select("m")
-        exact = lists.mapInArrow(_compare_nodes(self.agree_of, self.least), PAIRS)
-        pairs = stored(star.unionByName(exact).groupBy("a", "b").agg(F.max("agree").alias("agree")))
-        return pairs, stored(large.select("path", "g"))
+        exact = self.compare(mine.where(F.col("n") <= self.small).select("path", "g", F.col("g").alias("label"), "small"))
+        return star.unionByName(exact), large.select("path", "g", "small", "n")
 
     def labelled(self, df: DataFrame, *names: str) -> DataFrame:
         """``df`` with the component label of each named class column, as <name>_label."""
@@ -260,25 +266,46 @@ class PairJoin:
         return df
 
     def link(self, links: DataFrame) -> None:
-        """Add confirmed links to the components."""
-        if self.labels is not None:
-            links = links.select("a", "b").unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        self.labels = stored(components(links))
+        """Add confirmed links: components of the components they join."""
+        if self.labels is None:
+            self.labels = stored(components(links))
+            return
+        between = self.labelled(links, "a", "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        comp = components(between)
+        old = self.labels.withColumnRenamed("label", "mid").join(comp.select(F.col("node").alias("mid"), "label"), "mid", "left").select("node", F.coalesce("label", "mid").alias("label"))
+        new = comp.join(self.labels.select("node"), "node", "left_anti").select("node", "label")
+        self.labels = stored(old.unionByName(new))
+
+    def prepare(self, pairs: DataFrame) -> None:
+        """Fetch what ``confirm`` needs of the classes in these pairs."""
 
     def absorb(self, pairs: DataFrame) -> None:
-        """Confirm each class's likeliest link first, then all pairs between components."""
+        """Confirm each class's likeliest link first, then what still lies between components."""
+        pairs = pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
         apart = self.labelled(pairs, "a", "b").where("a_label <> b_label").select("a", "b", "agree")
-        best = apart.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
+        if self.tried is not None:
+            apart = apart.join(self.tried, ["a", "b"], "left_anti")
+        apart = stored(apart)
+        if not apart.limit(1).count():
+            return
+        self.prepare(apart)
+        best = stored(apart.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b"))
         self.link(self.confirm(best))
-        rest = stored(self.labelled(pairs, "a", "b").where("a_label <> b_label").select("a", "b").join(best, ["a", "b"], "left_anti"))
+        rest = stored(self.labelled(apart.select("a", "b"), "a", "b").where("a_label <> b_label").select("a", "b").join(best, ["a", "b"], "left_anti"))
         if rest.limit(1).count():
             self.link(self.confirm(rest))
+        now = best.unionByName(rest)
+        self.tried = now if self.tried is None else self.tried.unionByName(now)
 
     def unresolved(self, large: DataFrame) -> DataFrame:
-        """Of large nodes' members, those of nodes that hold several components."""
-        lab = self.labelled(large, "g")
-        open_ = lab.groupBy("path").agg(F.min("g_label").alias("lo"), F.max("g_label").alias("hi")).where("lo <> hi").select("path")
-        return large.join(open_, "path", "left_semi")
+        """Of large nodes' members, those of nodes that hold several components: (path, g, label, small, n)."""
+        lab = self.labelled(large, "g").withColumnRenamed("g_label", "label")
+        open_ = lab.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("path")
+        return lab.join(open_, "path", "left_semi").select("path", "g", "label", "small", "n")
+
+    def finish(self, open_: DataFrame) -> None:
+        """Compare the members of unresolved nodes exhaustively, in blocks."""
+        self.absorb(self.compare(_blocks_of(open_, self.small)))
 
 
 class SetJoin(PairJoin):
@@ -293,13 +320,21 @@ class SetJoin(PairJoin):
         known = self.measured.where("g is not null and key is not null")
         self.classes = stored(known.groupBy("g").agg(F.min("key").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        pairs = stored(pairs)
-        need = stored(pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct().join(self.classes, "g").select(F.col("least").alias("key")))
+    full: DataFrame | None = None  # (g, body): full sets fetched so far
+
+    def prepare(self, pairs: DataFrame) -> None:
+        """Fetch the full sets of classes in these pairs, again from the texts.
+
+        Texts pass a bitmap of the wanted ids, of fixed size, where they are read, so only the sets
+        that are wanted (and a few more) are made and kept.
+        """
+        need = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
+        if self.full is not None:
+            need = need.join(self.full.select("g"), "g", "left_anti")
+        need = stored(need.join(self.classes, "g").select(F.col("least").alias("key")))
         place = F.pmod(F.xxhash64("key"), F.lit(1 << BITS)) + 1  # bitmaps count from 1
         shared = self.spark.sparkContext.broadcast(bitmap(need.select(place.alias("x"))))
-        width, percent = self.width, self.percent
+        width = self.width
 
         def chosen(batches):
             bits = np.unpackbits(shared.value).astype(bool)
@@ -317,7 +352,12 @@ class SetJoin(PairJoin):
                     yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(bodies, pa.binary())], ["g", "body"])
 
         src = self.src.where("key is not null and text is not null").select("key", "text", place.alias("x"))
-        full = stored(src.mapInArrow(chosen, "g long, body binary"))
+        got = stored(src.mapInArrow(chosen, "g long, body binary"))
+        self.full = got if self.full is None else self.full.unionByName(got)
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough."""
+        percent, full = self.percent, self.full
 
         def similar(batches):
             for b in batches:
@@ -330,28 +370,26 @@ class SetJoin(PairJoin):
 
         one = pairs.join(full.select(F.col("g").alias("a"), F.col("body").alias("body_a")), "a").select("a", "b", "body_a")
         two = one.join(full.select(F.col("g").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
-        return two.mapInArrow(similar, "a long, b long").distinct()
+        return two.mapInArrow(similar, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 4, branch: int = 2, first: int = 3, last: int = 9, small: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 4, branch: int = 2, first: int = 3, last: int = 9, small: int = 128) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept."""
     j = SetJoin(docs, key, text, width, percent, branch, small)
     members = j.classes.select("g", "sketch").mapInArrow(_paths(trees, first, branch), "path long, g long, small binary")
-    depth = first
-    while True:
+    for depth in range(first, last + 1):
         pairs, large = j.candidates(members)
-        if pairs.limit(1).count():
-            j.absorb(pairs)
-        open_ = stored(j.unresolved(large)) if large.limit(1).count() else large
-        n = open_.count()
-        if not n or depth > last:
+        j.absorb(pairs)
+        open_ = stored(j.unresolved(large))
+        if not open_.limit(1).count():
+            break
+        rest = open_ if depth == last else open_.where(F.col("n") <= BLOCKED)
+        j.finish(rest)
+        open_ = open_.where(F.col("n") > BLOCKED)
+        if depth == last or not open_.limit(1).count():
             break
-        depth += 1
         with_sketch = open_.join(j.classes.select("g", "sketch"), "g").select("path", "g", "sketch")
-        if depth <= last:
-            members = with_sketch.mapInArrow(_deeper(branch), "path long, g long, small binary")
-        else:
-            members = _blocks(open_, with_sketch, small)
+        members = with_sketch.mapInArrow(_deeper(branch), "path long, g long, small binary")
     found = j.measured.select("key", "n_shingles", "g")
     named = j.labelled(j.classes.select("g", "least"), "g").select("g", "least", F.col("g_label").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
@@ -368,20 +406,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("key").alias(key), "n_shingles", comp_id.alias("component_id"), F.coalesce(comp_id == F.col("key"), F.lit(True)).alias("kept"))
 
 
-def _blocks_of(open_: DataFrame, members: DataFrame, small: int) -> DataFrame:
-    """Members dealt to pairs of blocks of a quarter of a small node, so that all pairs of a node meet."""
-    n = open_.groupBy("path").agg(F.ceil(F.count("*") * 4 / small).cast("long").alias("blocks"))
-    mine = members.join(n, "path").withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks")))
+def _blocks_of(open_: DataFrame, small: int) -> DataFrame:
+    """Members (path, g, label, small) dealt to pairs of blocks of about a quarter of a small node, so that all pairs of a node meet."""
+    mine = open_.withColumn("blocks", F.ceil(F.col("n") * 4 / small).cast("long")).withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks")))
     dealt = mine.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    return dealt.withColumn("path", F.xxhash64("path", F.least("i", "k"), F.greatest("i", "k")))
-
-
-def _blocks(open_: DataFrame, with_sketch: DataFrame, small: int) -> DataFrame:
-    def bytes_only(batches):
-        for b in batches:
-            yield _path_rows(b.column(0).to_numpy().view(U), b.column(1).to_numpy(), _small(_sketch_rows(b.column(2))))
-
-    return _blocks_of(open_, with_sketch, small).select("path", "g", "sketch").mapInArrow(bytes_only, "path long, g long, small binary")
+    return dealt.select(F.xxhash64("path", F.least("i", "k"), F.greatest("i", "k")).alias("path"), "g", "label", "small")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
