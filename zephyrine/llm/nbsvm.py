@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .near_dup import BITS, bitmap
 from .spill import stored
-from .textops import columns, combine, mix, slices, words
+from .textops import columns, combine, mix, slices, smallest, words
 
 U = np.uint64
 KINDS = np.zeros(256, np.uint8)
@@ -159,7 +159,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     share = (counts + alpha) / (counts + alpha).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
     values = np.where(counts.sum(axis=0) >= 3, ratio, 0.0).astype(np.float32)
-    sample = rows.orderBy(F.xxhash64("key", F.lit(11)), "key", "text").limit(max_train)
+    sample = smallest(rows, "key", max_train, 11)
 
     def fit(batches):
         ds, fs, ys, n = [], [], [], 0
@@ -178,7 +178,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
         w, bias = fit_hinge(indptr, cols, y, values.astype(np.float64), c, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([(w * values).astype(np.float32).tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["w", "bias"])
 
-    (fitted,) = sample.coalesce(1).mapInArrow(fit, "w binary, bias double").collect()
+    (fitted,) = sample.repartition(1).sortWithinPartitions("key").mapInArrow(fit, "w binary, bias double").collect()
     return model | {"w": np.frombuffer(fitted.w, np.float32), "values": values, "bias": fitted.bias, "scale": 3.0}
 
 

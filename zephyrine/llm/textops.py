@@ -13,6 +13,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 SEGMENT = 1 << 19
@@ -134,6 +136,11 @@ def sha256(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
-def parts_of(spark, n_bytes: float, each: float) -> int:
-    """A number of shuffle partitions that follows the input: ``each`` bytes in one."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // each) + 1)
+def smallest(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The rows whose key's hash is among the ``n`` smallest (rows of equal hash are all in).
+
+    Only hashes are sorted and sent on, never the rows themselves.
+    """
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    cut = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(cut)) if cut is not None else df.limit(0)
