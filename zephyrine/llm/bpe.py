@@ -130,7 +130,7 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     answers = P.answer(P.ask(pieces, questions), buckets, decide)
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
-    return P.meet(pieces, answers, 4 * max(n_pieces, 1), finish, schema).withColumnRenamed("key", key)
+    return P.meet(pieces.frame, answers, 4 * max(n_pieces, 1), finish, schema).withColumnRenamed("key", key)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,37 +95,28 @@ class Model:
         return np.where(count > 0, discounted(count, self.du) / max(self.n, 1), self.unknown)
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int = 7, out: int = 2, k: int = 5) -> DataFrame:
-    """One row per text: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    pieces = P.cut(df, key, text)
-    n_pieces = pieces.count()
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", parts: int = 7, out: int = 2, k: int = 5, store: bool = True) -> DataFrame:
+    """One row per text: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``store=False`` is for plain reads of files (see ``pieces.cut``).
+    """
+    pieces = P.cut(df, key, text, store=store)
+    n_pieces = P.count_of(df, text)
     buckets = P.buckets_for(pieces, n_pieces)
     asked = P.ask(pieces, lambda piece, body: _questions(piece, body, buckets, parts, out))
-    tables = stored(P.answer(asked, buckets, lambda bucket, held: _add(bucket, held, k)), "kind")
+    tables = stored(P.answer(asked, buckets, lambda bucket, held: _add(bucket, held, k)), "kind").select(*P.NAMES)
     P.release(df)
-    tables = tables.select(*P.NAMES)
     totals = np.zeros((2, k + 4), np.int64)
     for order, body in tables.where(F.col("kind") == TOTALS).groupBy("piece").agg(F.collect_list("body").alias("body")).select((-F.col("piece") - 1).alias("o"), "body").collect():
         totals[order] = np.sum([np.frombuffer(x, np.int64) for x in body], axis=0)
     model = Model(totals[0], totals[1], k)
-    schema = P.ROW + ", doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    half = P.meet(pieces, tables.where(F.col("kind") <= ANSWER), 4 * max(n_pieces, 1), lambda piece, body, held: _seen(piece, body, held, model, buckets, parts, out), schema)
-    seen = stored(half, "kind")
+    half = P.meet(pieces.frame, tables.where(F.col("kind") <= ANSWER), 4 * n_pieces, lambda piece, body, held: _seen(piece, body, held, model, buckets, parts, out), P.ROW)
+    seen = stored(half, "kind").select(*P.NAMES)
     P.release(df)
-    own = seen.where(F.col("kind") == TOTALS).select("piece", "doc", "held_out", "n_tokens", "n_known", "base_score", "score")
-    asked = seen.where(F.col("kind") == SUMS).select(*P.NAMES)
-    rest = _back_off(asked, buckets)
-    extra = rest.select("piece", "doc", F.lit(None).cast("boolean").alias("held_out"), *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known")), F.lit(0.0).alias("base_score"), "score")
-    ids = own.unionByName(extra).groupBy("piece", F.col("doc").alias("row")).agg(F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    names = pieces.mapInArrow(_names, "piece long, row long, key long")
-    return names.join(ids, ["piece", "row"]).select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _names(batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for piece, body in zip(b.column(0).to_pylist(), b.column(3), strict=True):
-            ids = P.unpack(P.split(body.as_py())[0], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), piece)), pa.array(np.arange(len(ids))), pa.array(ids, mask=ids == -1)], ["piece", "row", "key"])
+    rest = P.answer(seen.where(F.col("kind") == SUMS), buckets, _back_off)
+    schema = "key long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    done = P.meet(seen.where(F.col("kind") == TOTALS), rest, 4 * n_pieces, _total, schema)
+    return done.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _questions(piece: int, body: bytes, buckets: int, parts: int, out: int) -> Iterator:
@@ -192,9 +183,8 @@ def _seen(piece: int, body: bytes, held: list, model: Model, buckets: int, parts
     own[known] = np.log10(discounted(pair[known], model.db) / context[known])
     own[~known] = np.log10(p[~known])
     total = lambda x: np.bincount(doc, weights=x, minlength=n)
-    none = lambda m, t: pa.nulls(m, t)
-    names = [*P.NAMES, "doc", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), none(n, pa.int32()), pa.array(np.full(n, TOTALS, np.int32)), none(n, pa.binary()), pa.array(np.arange(n)), pa.array(held_out(ids, parts, out)), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc[count > 0], minlength=n)), pa.array(total(base)), pa.array(total(own))], names)
+    own_rows = [ids, held_out(ids, parts, out).astype(np.uint8), np.bincount(doc, minlength=n), np.bincount(doc[count > 0], minlength=n), total(base), total(own)]
+    out_rows = [(piece, -1, TOTALS, P.join(*(P.pack(x) for x in own_rows)))]
     # Each distinct bigram's share in the sums behind alpha, once over all pieces.
     mine = pair_at[owner & (pair_n > 0)]
     v, where = np.unique(before[mine], return_inverse=True)
@@ -205,16 +195,12 @@ def _seen(piece: int, body: bytes, held: list, model: Model, buckets: int, parts
     order = np.lexsort((doc[back], before[back]))
     back = back[order]
     at_v, at_b = P.bounds(v, buckets), P.bounds(before[back], buckets)
-    out_rows = []
     for b in range(buckets):
         i, j, x, y = at_v[b], at_v[b + 1], at_b[b], at_b[b + 1]
         if i < j or x < y:
             parts_ = [P.pack_sorted(v[i:j]), P.pack(seen[i:j]), P.pack(mass[i:j]), P.pack_sorted(before[back[x:y]]), P.pack(doc[back[x:y]].astype(np.uint32))]
             out_rows.append((piece, b, SUMS, P.join(*parts_)))
-    if out_rows:
-        m = len(out_rows)
-        r = P.rows(out_rows)
-        yield pa.RecordBatch.from_arrays([*r.columns, none(m, pa.int64()), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names)
+    yield P.rows(out_rows)
 
 
 def alphas(seen: np.ndarray, mass: np.ndarray) -> np.ndarray:
@@ -222,26 +208,31 @@ def alphas(seen: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return np.maximum(1 - seen, 1e-12) / np.maximum(1 - mass, 1e-12)
 
 
-def _back_off(asked: DataFrame, buckets: int) -> DataFrame:
-    """log10 alpha of every backed-off token, summed by text within each context's bucket."""
-
-    def run(batches):
-        for _, held in P.groups(batches, "bucket"):
-            blocks = [(piece, P.split(body)) for piece, _, _, body in held]
-            v = np.concatenate([P.unpack_sorted(x[0]) for _, x in blocks])
-            u, where = np.unique(v, return_inverse=True)
-            seen = np.bincount(where, weights=np.concatenate([P.unpack(x[1], np.float64) for _, x in blocks]), minlength=len(u))
-            mass = np.bincount(where, weights=np.concatenate([P.unpack(x[2], np.float64) for _, x in blocks]), minlength=len(u))
-            log_alpha = np.log10(alphas(seen, mass))
-            for piece, x in blocks:
-                doc = P.unpack(x[4], np.uint32).astype(np.int64)
-                if len(doc):
-                    sums = np.bincount(doc, weights=log_alpha[np.searchsorted(u, P.unpack_sorted(x[3]))])
-                    docs = np.unique(doc)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), piece)), pa.array(docs), pa.array(sums[docs])], ["piece", "doc", "score"])
-
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "piece").mapInArrow(run, "piece long, doc long, score double")
+def _back_off(bucket: int, held: list) -> Iterator:
+    """log10 alpha of every backed-off token of this bucket's contexts, summed by text."""
+    blocks = [(piece, P.split(body)) for piece, _, _, body in held]
+    v = np.concatenate([P.unpack_sorted(x[0]) for _, x in blocks])
+    u, where = np.unique(v, return_inverse=True)
+    seen = np.bincount(where, weights=np.concatenate([P.unpack(x[1], np.float64) for _, x in blocks]), minlength=len(u))
+    mass = np.bincount(where, weights=np.concatenate([P.unpack(x[2], np.float64) for _, x in blocks]), minlength=len(u))
+    log_alpha = np.log10(alphas(seen, mass))
+    for piece, x in blocks:
+        doc = P.unpack(x[4], np.uint32).astype(np.int64)
+        if len(doc):
+            sums = np.bincount(doc, weights=log_alpha[np.searchsorted(u, P.unpack_sorted(x[3]))])
+            docs = np.unique(doc)
+            yield piece, bucket, SUMS, P.join(P.pack(docs.astype(np.uint32)), P.pack(sums[docs]))
+
+
+def _total(_: int, body: bytes, held: list) -> Iterator[pa.RecordBatch]:
+    ids, out, n, known, base, own = (P.unpack(x, t) for x, t in zip(P.split(body), (np.int64, np.uint8, np.int64, np.int64, np.float64, np.float64), strict=True))
+    own = own.copy()
+    for _, _, _, b in held:
+        docs, sums = P.split(b)
+        own[P.unpack(docs, np.uint32).astype(np.int64)] += P.unpack(sums, np.float64)
+    cols = [pa.array(ids, mask=ids == -1), pa.array(out.astype(bool)), pa.array(n), pa.array(known), pa.array(base), pa.array(own)]
+    yield pa.RecordBatch.from_arrays(cols, ["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), store=False)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .textops import columns
 ROW = "piece long, bucket int, kind int, body binary"
 NAMES = ["piece", "bucket", "kind", "body"]
 TEXTS = -1
-PIECE_BYTES = 12 << 20
+PIECE_BYTES = 8 << 20
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -77,7 +78,15 @@ def rows(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], NAMES)
 
 
-def cut(df: DataFrame, key: str, text: str, store: bool = True, most: int = PIECE_BYTES) -> DataFrame:
+class Pieces(NamedTuple):
+    """The pieces' rows; unless they are stored, also what they are cut from and how."""
+
+    frame: DataFrame
+    source: DataFrame | None
+    cutter: Callable | None
+
+
+def cut(df: DataFrame, key: str, text: str, store: bool = True, most: int = PIECE_BYTES) -> Pieces:
     """Texts as pieces of about ``most`` bytes (a longer text is a piece of its own).
 
     Stored, the pieces can come from any plan. Without, they are cut anew each time they are read,
@@ -120,8 +129,9 @@ def cut(df: DataFrame, key: str, text: str, store: bool = True, most: int = PIEC
         if (row := emit()) is not None:
             yield row
 
-    out = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text")).mapInArrow(run, ROW)
-    return stored(out) if store else out
+    source = df.select(df[key].cast("long").alias("key"), df[text].cast("string").alias("text"))
+    out = source.mapInArrow(run, ROW)
+    return Pieces(stored(out), None, None) if store else Pieces(out, source, run)
 
 
 def count_of(df: DataFrame, text: str, most: int = PIECE_BYTES) -> int:
@@ -150,7 +160,7 @@ def groups(batches, field: str) -> Iterator[tuple[int, list[tuple[int, int, int,
         yield at, held
 
 
-def ask(pieces: DataFrame, questions: Callable[[int, bytes], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
+def ask(pieces: Pieces, questions: Callable[[int, bytes], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
     """The questions of all pieces."""
 
     def run(batches):
@@ -160,7 +170,10 @@ def ask(pieces: DataFrame, questions: Callable[[int, bytes], Iterator[tuple[int,
                 if out:
                     yield rows(out)
 
-    return pieces.mapInArrow(run, ROW)
+    if pieces.source is not None:  # cut and ask in one Python worker
+        cutter = pieces.cutter
+        return pieces.source.mapInArrow(lambda batches: run(cutter(batches)), ROW)
+    return pieces.frame.mapInArrow(run, ROW)
 
 
 def answer(asked: DataFrame, buckets: int, decide: Callable[[int, list], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
@@ -175,26 +188,22 @@ def answer(asked: DataFrame, buckets: int, decide: Callable[[int, list], Iterato
     return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "piece").mapInArrow(run, ROW)
 
 
-def meet(pieces: DataFrame, answers: DataFrame, n: int, finish: Callable[[int, bytes, list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def meet(frame: DataFrame, answers: DataFrame, n: int, finish: Callable[[int, bytes, list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``finish`` sees a piece's texts and all answers to it."""
 
     def run(batches):
         for piece, held in groups(batches, "piece"):
             yield from finish(piece, held[0][3], held[1:])
 
-    return pieces.unionByName(answers).repartition(n, "piece").sortWithinPartitions("piece", "kind", "bucket").mapInArrow(run, schema)
+    return frame.unionByName(answers).repartition(n, "piece").sortWithinPartitions("piece", "kind", "bucket").mapInArrow(run, schema)
 
 
-def buckets_for(pieces: DataFrame, n_pieces: int) -> int:
+def buckets_for(pieces: Pieces, n_pieces: int) -> int:
     """Buckets follow the input: as many as pieces, and at least the session's shuffle partitions."""
-    return max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pieces, 1)
+    return max(int(pieces.frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pieces, 1)
 
 
 def release(df: DataFrame) -> None:
     """Let Spark's cleaner drop shuffle files that no plan refers to any more."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def is_real(df: DataFrame) -> DataFrame:
-    return df.where(F.col("piece") >= 0)
