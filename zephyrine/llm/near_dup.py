@@ -228,6 +228,7 @@ class PairJoin:
     agree_of = staticmethod(agreement)
     least = AGREE
     small = 128
+    block = 1024  # members of a block when a node is compared in blocks
     spark: SparkSession
     labels: DataFrame | None = None  # (node, label) of classes that have links
     tried: DataFrame | None = None  # pairs that have been confirmed or refuted
@@ -305,7 +306,7 @@ class PairJoin:
 
     def finish(self, open_: DataFrame) -> None:
         """Compare the members of unresolved nodes exhaustively, in blocks."""
-        self.absorb(self.compare(_blocks_of(open_, self.small)))
+        self.absorb(self.compare(_blocks_of(open_, self.block)))
 
 
 class SetJoin(PairJoin):
@@ -406,9 +407,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("key").alias(key), "n_shingles", comp_id.alias("component_id"), F.coalesce(comp_id == F.col("key"), F.lit(True)).alias("kept"))
 
 
-def _blocks_of(open_: DataFrame, small: int) -> DataFrame:
-    """Members (path, g, label, small) dealt to pairs of blocks of about a quarter of a small node, so that all pairs of a node meet."""
-    mine = open_.withColumn("blocks", F.ceil(F.col("n") * 4 / small).cast("long")).withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks")))
+def _blocks_of(open_: DataFrame, size: int) -> DataFrame:
+    """Members (path, g, label, small) dealt to pairs of blocks of about ``size``, so that all pairs of a node meet."""
+    mine = open_.withColumn("blocks", F.ceil(F.col("n") / size).cast("long")).withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks")))
     dealt = mine.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)")))
     return dealt.select(F.xxhash64("path", F.least("i", "k"), F.greatest("i", "k")).alias("path"), "g", "label", "small")
 
