@@ -211,3 +211,14 @@ def test_decontamination(spark, nothing):
     kept = {x.doc_id for x in latent.drop_contaminated(d, bench).collect()}
     assert kept == {i for i, _ in texts} - {i for i, _ in got}
     assert latent.search(nothing, bench).count() == 0 and latent.search(d, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_full_blocks(spark):
+    """More windows in a block than ``k``, and several blocks: whole items at any offset are all found."""
+    r = random.Random(10)
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda n: " ".join(r.choice(signs) + r.choice(signs) for _ in range(n))
+    items = [(i, make(r.randint(300, 500))) for i in range(60)]
+    texts = [(i, f"{make(r.randint(0, 60))} {t} {make(r.randint(0, 60))}") for i, t in items]
+    got = {(x.doc_id, x.item_id) for x in latent.search(spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string"), k=64, block=256).collect()}
+    assert got == {(i, i) for i, _ in items}
