@@ -1,5 +1,6 @@
 """Operators over whole corpora against brute force."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -111,6 +112,17 @@ def test_line_dedup(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """Later copies of lines of any length but zero go; short lines have no near ones."""
+    texts = ["Top\n\nAll rights reserved.\né", "top\n All rights reserved.\t\n\né\nTop", "All rights reserved!\n \n{\n}\n{"]
+    spark.createDataFrame(rows(list(enumerate(texts))), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()}
+    want = ["Top\n\nAll rights reserved.\né", "top\n", "All rights reserved!\n \n{\n}"]
+    assert [got[i].n_chars for i in range(3)] == [len(x) for x in want]
+    assert [got[i].text_sha256 for i in range(3)] == [hashlib.sha256(x.encode()).hexdigest() for x in want]
+    assert [(got[i].n_exact, got[i].n_near) for i in range(3)] == [(0, 0), (3, 0), (1, 0)]
+
+
 def test_katz(docs, small, nothing):
     toks = {i: [*words(t), None] for i, t in small}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}

@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are the parts of a text between ``\\n``, trimmed of ASCII white space; lines of fewer than
-``min_chars`` code points are left alone. Lines within ``edits`` insertions, deletions or substitutions of
+Lines are the parts of a text between ``\\n``, trimmed of ASCII white space. Equal lines of at least
+``exact_chars`` code points (``min_chars`` if that is not given; 1 takes every line that is not blank) are one
+line; lines of at least ``min_chars`` are held against near ones as well. Lines within ``edits`` insertions, deletions or substitutions of
 each other are linked; of every connected group of lines the earliest one, by id and line number, stays
 and all its other occurrences go.
 
@@ -16,8 +17,8 @@ banded bit-parallel edit distance confirms them; a node of many lines is joined
 exhaustively in blocks only if its lines then lie in several groups.
 
 Null texts and null ids pass unchanged. Ids are taken to be unique; a repeated row (same id, same
-text) is treated as its first. Rows whose every line of ``min_chars`` is a later copy, and which hold no other
-words, come out empty. Columns other than key and text pass through.
+text) is treated as its first. Rows whose every line is a later copy come out
+without words: empty, or with their blank lines alone. Columns other than key and text pass through.
 """
 
 from __future__ import annotations
@@ -272,14 +273,14 @@ class LineJoin(PairJoin):
         return self.labels
 
 
-def removed_lines(src: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def removed_lines(src: DataFrame, edits: int, min_chars: int, exact_chars: int) -> DataFrame:
     """(key, exact, near): for every text with a line to remove, the numbers of those lines by reason."""
 
     def run(batches):
         for b in batches:
             ids, data, off = columns(b, "key", "text")
             for i, j in slices(off, 2 << 20):
-                lines = Lines(data, off[i : j + 1], min_chars)
+                lines = Lines(data, off[i : j + 1], exact_chars)
                 yield pa.RecordBatch.from_arrays([pa.array(lines.hash.view(np.int64)), pa.array(ids[i:j][lines.doc]), pa.array(lines.no.astype(np.int32))], ["g", "key", "no"])
 
     spark = src.sparkSession
@@ -307,10 +308,11 @@ def removed_lines(src: DataFrame, edits: int, min_chars: int) -> DataFrame:
     return gone.groupBy("key").agg(F.collect_set(F.when(~near, F.col("no"))).alias("exact"), F.collect_set(F.when(near, F.col("no"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 24, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with its lines deduplicated, and columns ``lines_exact`` and ``lines_near``: the numbers of the lines removed."""
     src = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text")).where("key is not null and text is not null")
-    gone = stored(removed_lines(src, edits, min_chars)).select(F.col("key").alias("__k"), F.col("exact").alias("lines_exact"), F.col("near").alias("lines_near"))
+    least = min_chars if exact_chars is None else min(max(exact_chars, 1), min_chars)  # blank lines stay
+    gone = stored(removed_lines(src, edits, min_chars, least)).select(F.col("key").alias("__k"), F.col("exact").alias("lines_exact"), F.col("near").alias("lines_near"))
     both = docs.join(gone.hint("merge"), docs[key].cast("long") == gone["__k"], "left").drop("__k")
     drop = F.array_union(F.col("lines_exact"), F.col("lines_near"))
     kept = F.concat_ws("\n", F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(drop, i.cast("int"))))
@@ -319,6 +321,6 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, exact_chars=1)
     count = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0)).cast("long")
     return out.select("doc_id", count("lines_exact").alias("n_exact"), count("lines_near").alias("n_near"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
