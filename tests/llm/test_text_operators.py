@@ -124,6 +124,18 @@ def test_secret_spans():
     assert secrets.guess_cost("aaaaaaaaaaaa") < 4 and secrets.guess_cost("qwertyuiop") < 4 and secrets.guess_cost("1999-12-31") < 6
 
 
+def test_long_secret_values_are_taken_whole():
+    r = random.Random(12)
+    signs = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789!$@"
+    for n in (128, 129, 240, 100_000):
+        v = "".join(r.choice(signs) for _ in range(n - 1)) + "Q"
+        assert ("guess", 4, 4 + n) in secrets.spans_of(f"pwd={v} x")
+        late = "a" * n + "Zq8!vT2#mN4x"  # costly only behind the first 128
+        assert ("guess", 4, 4 + len(late)) in secrets.spans_of(f"pwd={late}")
+    for cheap in ("a" * 100_000, "ab" * 50_000, "op" * 50_000, "password" + "a" * 5000 + "2020", "opopopop" * 400 + "admin"):
+        assert not [x for x in secrets.spans_of(f"pwd={cheap}") if x[0] == "guess"]
+
+
 def test_secret_base_against_regex(docs, small):
     assert {r.doc_id for r in secrets.scan(docs).collect()} == {i for i, _ in small}
     r = random.Random(3)

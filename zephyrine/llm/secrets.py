@@ -4,7 +4,8 @@
 kind, ``guess``: a value that stands after a credential word and that no cheap segmentation
 explains. The cost of a value is the minimum over all its segmentations, by dynamic programming,
 of the sum of log10 guesses of its pieces: listed words, dates and years, repeats, keyboard
-walks, and brute-force spans. Values costing ``min_log10_guesses`` or more are reported.
+walks, and brute-force spans. Values costing ``min_log10_guesses`` or more are reported. A value is
+taken to its end, however long; places that no segmentation under that cost reaches are not searched.
 
 Null or empty texts have no spans. Ties between segmentations do not matter: only the cost is
 used. Repeated rows give repeated results; other columns of the input are not read. Offsets are
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words before a value that make it a credential.
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "auth_key", "credential", "credentials", "bearer")
-CONTEXT = re.compile(r"""(?i:(?<![a-z])(?:%s))["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+)["'`]?([^\x09-\x0D\x20"'`,;<>|]{6,128})""" % "|".join(map(re.escape, sorted(CONTEXT_WORDS, key=len, reverse=True))))
+CONTEXT = re.compile(r"""(?i:(?<![a-z])(?:%s))["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+)["'`]?([^\x09-\x0D\x20"'`,;<>|]{6,})""" % "|".join(map(re.escape, sorted(CONTEXT_WORDS, key=len, reverse=True))))
 HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "bearer")
 #: Words that people choose, the likeliest first.
 COMMON_WORDS = ("password", "admin", "welcome", "login", "letmein", "master", "secret", "dragon", "monkey", "football", "baseball", "shadow", "sunshine", "princess", "iloveyou", "trustno", "hello", "freedom", "whatever", "starwars", "computer", "internet", "test", "user", "root", "guest", "default", "change", "changeme", "example", "sample", "demo", "temp", "public", "private", "server", "system", "manager", "summer", "winter", "spring", "autumn", "love", "money", "token", "pass", "word", "key", "my", "the", "your", "new", "old", "none", "null", "true", "false", "value", "string", "here", "insert", "replace", "foo", "bar", "baz", "dummy", "placeholder")
@@ -39,61 +42,95 @@ NEXT = {a + b for row in KEY_ROWS for a, b in zip(row, row[1:], strict=False)}
 _YEAR, _MONTH, _DAY, _SEP = "(?:19|20)\\d\\d", "(?:1[0-2]|0?[1-9])", "(?:[12]\\d|3[01]|0?[1-9])", "[-/._]?"
 DATES = [re.compile(x) for x in (_YEAR + _SEP + _MONTH + _SEP + _DAY, _DAY + _SEP + _MONTH + _SEP + _YEAR, _YEAR)]
 LONGEST_WORD = max(map(len, COMMON_WORDS))
+#: Repeats and walks of more code points than this start and end only so near to their ends.
+EDGE = 128
 
 
 def _size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
-@lru_cache(1 << 14)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of ``value`` (0 for an empty one).
+def _ends(i: int, first: int, end: int, step: int, least: int) -> Iterable[int]:
+    """Ends of pieces from i, every ``step`` from ``least`` steps on, in a repeat or walk found at ``first`` that goes to ``end``.
+
+    Two such pieces of one repeat or walk cost more than one over both, so of a long one only places near its two ends matter.
+    """
+    if i - first >= EDGE:
+        return ()
+    most = (end - i) // step
+    near = EDGE // step
+    if most <= 2 * near:
+        return range(i + least * step, i + most * step + 1, step)
+    return chain(range(i + least * step, i + near * step + 1, step), range(i + (most - near) * step, i + most * step + 1, step))
+
+
+def guess_cost(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation of ``value`` (0 for an empty one); infinite if not under ``limit``.
 
     Every piece after the first adds log10(2) for the choice of where it ends, which keeps a
     value from being cut into many tiny pieces at no price.
     """
+    return _guess_cost(value, limit) if len(value) <= EDGE else _guess_cost.__wrapped__(value, limit)
+
+
+@lru_cache(1 << 14)
+def _guess_cost(value: str, limit: float) -> float:
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
-    pieces: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    best = [math.inf] * (n + 1)
+    best[0] = 0.0
+    far = 0
+    runs: dict[int, tuple[int, int]] = {}  # by width (0: walks): the repeat that was found last, its first place and its end
+
+    def run(i: int, width: int) -> tuple[int, int]:
+        first, end = runs.get(width, (0, 0))
+        if i + max(width, 1) >= end:
+            first, end = i, i + max(width, 1)
+            while end < n and (value[end] == value[end - width] if width else low[end - 1] + low[end] in NEXT):
+                end += 1
+            runs[width] = first, end
+        return first, end
+
     for i in range(n):
+        if i > far:
+            return math.inf
+        start = best[i] + (math.log10(2) if i else 0.0)
+        if start >= limit or best[i] == math.inf:
+            continue
+        pieces: list[tuple[int, float]] = []
         for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
             r = RANK.get(low[i:j])
             leet = r is None
             r = r or RANK.get(plain[i:j])
             if r:
                 case = 0.0 if value[i:j] == low[i:j] else 0.31 if value[i:j] in (low[i:j].upper(), low[i:j].capitalize()) else 0.31 * (j - i)
-                pieces[i].append((j, math.log10(r + 1) + case + 0.61 * leet))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            pieces[i].extend((k, math.log10(_size(value[i]) * (k - i))) for k in range(i + 3, j + 1))
+                pieces.append((j, math.log10(r + 1) + case + 0.61 * leet))
+        first, end = run(i, 1)
+        pieces.extend((k, math.log10(_size(value[i]) * (k - i))) for k in _ends(i, first, end, 1, 3))
+        unit = math.log10(_size(value[i]))
         for width in range(2, (n - i) // 2 + 1):
-            times = 1
-            while value.startswith(value[i : i + width], i + times * width):
-                times += 1
-            if times > 1:
-                unit = sum(math.log10(_size(c)) for c in value[i : i + width])
-                pieces[i].extend((i + width * t, unit + math.log10(t)) for t in range(2, times + 1))
-        j = i + 1
-        while j < n and low[j - 1] + low[j] in NEXT:
-            j += 1
-        pieces[i].extend((k, math.log10(47 * (k - i))) for k in range(i + 3, j + 1))
+            unit += math.log10(_size(value[i + width - 1]))
+            if start + unit >= limit:
+                break
+            first, end = run(i, width)
+            pieces.extend((k, unit + math.log10((k - i) // width)) for k in _ends(i, first, end, width, 2))
+        first, end = run(i, 0)
+        pieces.extend((k, math.log10(47 * (k - i))) for k in _ends(i, first, end, 1, 3))
         for form in DATES:
             if m := form.match(value, i):
-                pieces[i].append((m.end(), math.log10(119 if m.end() - i == 4 else 365 * 119)))
-    best = [math.inf] * (n + 1)
-    best[0] = 0.0
-    brute = [0.0] + [math.log10(_size(c)) for c in value]
-    for i in range(n):
-        start = best[i] + (math.log10(2) if i else 0.0)
-        for j, cost in pieces[i]:
-            best[j] = min(best[j], start + cost)
+                pieces.append((m.end(), math.log10(119 if m.end() - i == 4 else 365 * 119)))
+        for j, cost in pieces:
+            if start + cost < min(best[j], limit):
+                best[j] = start + cost
+                far = max(far, j)
         cost = 0.0
         for j in range(i + 1, n + 1):  # a brute-force span of any length
-            cost += brute[j]
+            cost += math.log10(_size(value[j - 1]))
+            if start + cost >= limit:
+                break
             if start + cost < best[j]:
                 best[j] = start + cost
+                far = max(far, j)
             elif j > i + 1:
                 break
     return best[n]
@@ -112,7 +149,7 @@ def spans_of(text: str, min_log10_guesses: float = 10.0) -> list[tuple[str, int,
             a, b = m.span(1)
             while b - a > 6 and text[b - 1] in ".!?)]}":
                 b -= 1
-            if not any(x <= a and b <= y for x, y in assign) and guess_cost(text[a:b]) >= min_log10_guesses:
+            if not any(x <= a and b <= y for x, y in assign) and guess_cost(text[a:b], min_log10_guesses) >= min_log10_guesses:
                 out.append(("guess", a, b))
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
