@@ -167,6 +167,11 @@ def test_html_extraction(spark):
     assert {(r.page_id, r.n_chars) for r in got} == {(1, 0), (2, len(html_text.extract(PAGE)))}
 
 
+def test_self_closed_foreign_elements():
+    assert html_text.extract('<article><p>The sea <svg width="1"/>is <math/>cold.</p><p>The end <svg><path/>no</svg>of it.</p></article>') == "The sea is cold.\nThe end of it."
+    assert html_text.extract("<article><p>The sea.</p><script src=x />no</script><p>The end.</p></article>") == "The sea.\nThe end."
+
+
 def test_empty_tables(nothing):
     assert repetition.quality_rules(nothing).count() == 0
     assert token_counts.count_tokens(nothing, TOKENIZER).count() == 0

@@ -121,6 +121,8 @@ def blocks_of(page: str) -> list[Block]:
                 leave(*stack.pop())
         elif name == "br":
             parts.append(" ")
+        if name in ("svg", "math") and attributes.endswith("/"):
+            continue  # of all elements only foreign ones can close themselves
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
