@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spill import stored
+from .textops import frugal
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,6 +38,7 @@ def union(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
+    @frugal
     def run(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if parts:

@@ -23,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from .textops import frugal
+
 #: Frequent function words of the languages at hand.
 STOP_WORDS = {
     "en": "the of and to a in is it that was for on are as with his they at be this have from or had by not but what all were we when your can said there use an each which she do how their if will",
@@ -191,6 +193,7 @@ def extract(page: str | None) -> str:
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: key, url, ``text`` and its length ``n_chars`` in code points."""
 
+    @frugal
     def run(batches):
         for b in batches:
             texts = pa.array([extract(p.as_py()) for p in b.column(2)], pa.string())

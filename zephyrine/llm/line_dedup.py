@@ -13,8 +13,8 @@ into an index, keyed by (length, segment number, content), and probe it with the
 length from theirs down to edits less; keys are 64-bit hashes, dealt by hash as sorted blocks, and only keys
 that an index entry and a probe of different lines share come out. Such keys are the nodes of the same
 pair join as near-dedup's (near_dup.py), where a histogram of the characters screens pairs and a
-banded bit-parallel edit distance confirms them; a node of many lines is joined by a star first and
-exhaustively in blocks only if its lines then lie in several groups.
+banded bit-parallel edit distance confirms them; small nodes give forests of links, a node of many lines is joined by a star first and
+dealt to pairs of blocks only if its lines then lie in several groups.
 
 Null texts and null ids pass unchanged. Ids are taken to be unique; a repeated row (same id, same
 text) is treated as its first. Rows whose every line is a later copy come out
@@ -23,15 +23,17 @@ without words: empty, or with their blank lines alone. Columns other than key an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dup import BITS, PairJoin, bitmap
+from .near_dup import BITS, PairJoin, _blocks_of, bitmap, by_hot, held_in
 from .pieces import bounds, join, pack, pack_sorted, split, unpack, unpack_sorted
 from .spill import stored
-from .textops import columns, combine, mix, slices
+from .textops import columns, combine, fresh, frugal, mix, slices
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -54,16 +56,24 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.array(x, np.int64) for x in (doc, no, st, en))
 
 
-def sums_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums and inverse powers from which every substring's hash follows."""
-    power = np.full(len(values), BASE)
-    power[:1] = 1
-    np.multiply.accumulate(power, out=power)
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum(mix(values.astype(U) + U(77)) * power, out=sums[1:])
-    inverse = np.full(len(values) + 1, INVERSE)
-    inverse[:1] = 1
-    np.multiply.accumulate(inverse, out=inverse)
+def sums_of(values: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums and inverse powers from which every substring's hash follows; made in steps, so that no scratch memory grows with the text."""
+    n = len(values)
+    sums, inverse = np.zeros(n + 1, U), np.empty(n + 1, U)
+    power, back = np.ones(1, U), np.ones(1, U)
+    for a in range(0, n + 1, step):
+        part = np.full(min(step, n + 1 - a), INVERSE)
+        part[:1] = back
+        np.multiply.accumulate(part, out=inverse[a : a + len(part)])
+        back = inverse[a + len(part) - 1 : a + len(part)] * INVERSE
+        now = values[a : a + step]
+        if len(now):
+            powers = np.full(len(now), BASE)
+            powers[:1] = power
+            np.multiply.accumulate(powers, out=powers)
+            power = powers[-1:] * BASE
+            np.cumsum(mix(now.astype(U) + U(77)) * powers, out=sums[a + 1 : a + 1 + len(now)])
+            sums[a + 1 : a + 1 + len(now)] += sums[a]
     return sums, inverse
 
 
@@ -74,12 +84,14 @@ def substring(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarra
 class Lines:
     """Distinct lines of a slice of texts, as code points, with their hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_chars: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_chars: int, first_doc: int = 0, first_no: int = 0):
         doc, no, st, en = lines_of(data, offsets)
+        no = no + first_no
         lead = np.concatenate(([0], np.cumsum((data[int(offsets[0]) : int(offsets[-1])] & 0xC0) != 0x80)))
         lo = int(offsets[0])
         a, b = lead[st - lo], lead[en - lo]
         ok = b - a >= min_chars
+        doc = doc + first_doc
         self.doc, self.no, self.st, self.en, self.a, self.b = (x[ok] for x in (doc, no, st, en, a, b))
         text = data[lo : int(offsets[-1])].tobytes().decode("utf-8", "replace")
         self.points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -87,6 +99,27 @@ class Lines:
         self.hash = substring(self.sums, self.inverse, self.a, self.b)
 
 
+def lines_in(data: np.ndarray, offsets: np.ndarray, min_chars: int, most: int = 2 << 20) -> Iterator[Lines]:
+    """The lines of all texts, in slices of about ``most`` bytes; a longer text is cut between lines."""
+    for i, j in slices(offsets, most):
+        a, end, no = int(offsets[i]), int(offsets[j]), 0
+        if end - a <= most:
+            yield Lines(data, offsets[i : j + 1], min_chars, i)
+            continue
+        while a <= end:
+            stop = end
+            at = a + most
+            while at < end:
+                ends = np.flatnonzero(data[at : min(at + most, end)] == 10)
+                if len(ends):
+                    stop = at + int(ends[0])
+                    break
+                at += most
+            yield Lines(data, np.array([a, stop]), min_chars, i, no)
+            no += int((data[a:stop] == 10).sum()) + 1
+            a = stop + 1
+
+
 def segment(n: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i of lines of length n: the last ones are longer by one."""
     size, longer = n // parts, n % parts
@@ -180,11 +213,11 @@ class LineJoin(PairJoin):
         """(path, g): keys that index entries and probes of different lines share, with those lines."""
         edits, min_chars = self.edits, self.min_chars
 
+        @frugal
         def ask(batches):
             for b in batches:
                 _, data, off = columns(b, "key", "text")
-                for i, j in slices(off, 2 << 20):
-                    lines = Lines(data, off[i : j + 1], min_chars)
+                for lines in lines_in(data, off, min_chars):
                     h, pick = np.unique(lines.hash, return_index=True)
                     if not len(h):
                         continue
@@ -195,6 +228,7 @@ class LineJoin(PairJoin):
                     rows = [(k, join(pack_sorted(key[s:e]), pack(h[of[s:e]]), np.packbits(entry[s:e]).tobytes())) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if s < e]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "body"])
 
+        @frugal
         def meet(batches):
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             now = None
@@ -233,14 +267,13 @@ class LineJoin(PairJoin):
         shared = self.spark.sparkContext.broadcast(bitmap(need.select((F.pmod(F.col("g"), F.lit(1 << BITS)) + 1).alias("x"))))
         min_chars = self.min_chars
 
+        @frugal
         def run(batches):
-            bits = np.unpackbits(shared.value).astype(bool)
             for b in batches:
                 _, data, off = columns(b, "key", "text")
-                for i, j in slices(off, 2 << 20):
-                    lines = Lines(data, off[i : j + 1], min_chars)
+                for lines in lines_in(data, off, min_chars):
                     h, pick = np.unique(lines.hash, return_index=True)
-                    ok = bits[(h & U((1 << BITS) - 1)).astype(np.int64)]
+                    ok = held_in(shared.value, (h & U((1 << BITS) - 1)).astype(np.int64))
                     h, pick = h[ok], pick[ok]
                     text = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(lines.st[pick].tolist(), lines.en[pick].tolist(), strict=True)]
                     small = [histogram(lines.points[a:c]) for a, c in zip(lines.a[pick].tolist(), lines.b[pick].tolist(), strict=True)]
@@ -248,40 +281,34 @@ class LineJoin(PairJoin):
 
         return self.src.mapInArrow(run, "g long, line string, small binary").groupBy("g").agg(F.first("line").alias("line"), F.first("small").alias("small")).join(need, "g", "left_semi")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        edits, text = self.edits, self.texts.select("g", "line")
+    def bodies(self, need: DataFrame) -> DataFrame:
+        return self.texts.select("g", F.col("line").alias("body"))
 
-        def run(batches):
-            for b in batches:
-                keep = [within(x, y, edits) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        one = pairs.select("a", "b").join(text.withColumnsRenamed({"g": "a", "line": "x"}), "a")
-        two = one.join(text.withColumnsRenamed({"g": "b", "line": "y"}), "b").select("a", "b", "x", "y")
-        return two.mapInArrow(run, "a long, b long")
+    def judge(self):
+        edits = self.edits
+        return lambda lines: lambda x, others: np.array([within(lines[x], lines[y], edits) for y in others.tolist()], bool)
 
     def run(self, buckets: int) -> DataFrame | None:
         """Components of near lines: (node, label); None if no two lines are near."""
         nodes = stored(self.matches(buckets))
         self.texts = stored(self.fetch(nodes.select("g").distinct()))
-        with_small = nodes.join(self.texts.select("g", "small"), "g").select("path", "g", "small")
-        pairs, large = self.candidates(with_small)
-        self.absorb(pairs)
-        open_ = stored(self.unresolved(large))
-        if open_.limit(1).count():
-            self.finish(open_)
+        members = nodes.join(self.texts.select("g", "small"), "g").select("path", "g", F.col("g").alias("label"), F.lit(0).cast("long").alias("key"), "small")
+        found = self.find(members, nodes.groupBy("path").agg(F.count("*").alias("n")), nodes.count())
+        again = self.absorb(found)
+        units = _blocks_of(self.unresolved(found), self.block)
+        self.settle(units if again is None else units.unionByName(again))
         return self.labels
 
 
 def removed_lines(src: DataFrame, edits: int, min_chars: int, exact_chars: int) -> DataFrame:
     """(key, exact, near): for every text with a line to remove, the numbers of those lines by reason."""
 
+    @frugal
     def run(batches):
         for b in batches:
             ids, data, off = columns(b, "key", "text")
-            for i, j in slices(off, 2 << 20):
-                lines = Lines(data, off[i : j + 1], exact_chars)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.hash.view(np.int64)), pa.array(ids[i:j][lines.doc]), pa.array(lines.no.astype(np.int32))], ["g", "key", "no"])
+            for lines in lines_in(data, off, exact_chars):
+                yield pa.RecordBatch.from_arrays([pa.array(lines.hash.view(np.int64)), pa.array(ids[lines.doc]), pa.array(lines.no.astype(np.int32))], ["g", "key", "no"])
 
     spark = src.sparkSession
     seen = stored(src.mapInArrow(run, "g long, key long, no int"))
@@ -291,13 +318,13 @@ def removed_lines(src: DataFrame, edits: int, min_chars: int, exact_chars: int)
     labels = job.run(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000))  # buckets follow the input
     whole = first.withColumn("lead", F.col("first"))
     if labels is not None:
-        named = first.join(labels.withColumnRenamed("node", "g"), "g", "left").withColumn("label", F.coalesce("label", "g"))
-        lead = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("first").alias("lead"))
-        whole = named.join(lead, "label").select("g", "first", "n", "lead")
-    whole = stored(whole)
+        linked = stored(first.join(labels.withColumnRenamed("node", "g"), "g").select("g", "first", "label"))
+        groups = stored(linked.groupBy("label").agg(F.min("first").alias("lead"), F.count("*").alias("n")))
+        leads = by_hot(linked, groups.select("label", "lead"), "label", groups.select("label", "n"), labels.count()).select("g", "lead")
+        whole = first.join(leads, "g", "left").withColumn("lead", F.coalesce("lead", "first"))
     # Only lines that occur again, or that are near an earlier one, are joined to their occurrences;
     # the most frequent ones, fewer than 1000, by a broadcast.
-    part = whole.where((F.col("n") > 1) | (F.col("first") != F.col("lead"))).select("g", "first", "lead", "n")
+    part = stored(whole.where((F.col("n") > 1) | (F.col("first") != F.col("lead"))).select("g", "first", "lead", "n"))
     hot_size = max(total // 1000, 1)
     hot = F.broadcast(part.where(F.col("n") > hot_size).drop("n"))
     rest = seen.join(F.broadcast(part.where(F.col("n") > hot_size).select("g")), "g", "left_anti")
@@ -308,13 +335,18 @@ def removed_lines(src: DataFrame, edits: int, min_chars: int, exact_chars: int)
     return gone.groupBy("key").agg(F.collect_set(F.when(~near, F.col("no"))).alias("exact"), F.collect_set(F.when(near, F.col("no"))).alias("near"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 24, exact_chars: int | None = None) -> DataFrame:
-    """``docs`` with its lines deduplicated, and columns ``lines_exact`` and ``lines_near``: the numbers of the lines removed."""
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 2, min_chars: int = 24, exact_chars: int | None = None, exact: str = "lines_exact", near: str = "lines_near") -> DataFrame:
+    """``docs`` with its lines deduplicated, and two more columns, ``exact`` and ``near``: the numbers of the lines removed (null: none).
+
+    Columns of ``docs`` that have these names already are replaced.
+    """
+    docs = docs.drop(exact, near)
     src = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text")).where("key is not null and text is not null")
     least = min_chars if exact_chars is None else min(max(exact_chars, 1), min_chars)  # blank lines stay
-    gone = stored(removed_lines(src, edits, min_chars, least)).select(F.col("key").alias("__k"), F.col("exact").alias("lines_exact"), F.col("near").alias("lines_near"))
-    both = docs.join(gone.hint("merge"), docs[key].cast("long") == gone["__k"], "left").drop("__k")
-    drop = F.array_union(F.col("lines_exact"), F.col("lines_near"))
+    k = fresh(docs, "__k")
+    gone = stored(removed_lines(src, edits, min_chars, least)).select(F.col("key").alias(k), F.col("exact").alias(exact), F.col("near").alias(near))
+    both = docs.join(gone.hint("merge"), docs[key].cast("long") == gone[k], "left").drop(k)
+    drop = F.array_union(F.col(exact), F.col(near))
     kept = F.concat_ws("\n", F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(drop, i.cast("int"))))
     return both.withColumn(text, F.when(F.size(drop) > 0, kept).otherwise(F.col(text)))
 

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dup import BITS, bitmap
+from .near_dup import BITS, bitmap, held_in
 from .spill import stored
-from .textops import columns, combine, mix, slices, smallest, words
+from .textops import columns, combine, frugal, mix, slices, smallest, words
 
 U = np.uint64
 KINDS = np.zeros(256, np.uint8)
@@ -120,6 +120,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"))
     size = 1 << bits
 
+    @frugal
     def count(batches):
         counts, seen = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
         for b in batches:
@@ -136,6 +137,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
                 for i in range(64):
                     yield pa.RecordBatch.from_arrays([pa.array([k * 64 + i], pa.int32()), pa.array([int(seen[k])], pa.int64()), pa.array([counts[k, i * step : (i + 1) * step].tobytes()], pa.binary())], ["block", "seen", "counts"])
 
+    @frugal
     def add(batches):
         sums: dict[int, tuple[int, np.ndarray]] = {}
         for b in batches:
@@ -161,6 +163,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
     values = np.where(counts.sum(axis=0) >= 3, ratio, 0.0).astype(np.float32)
     sample = smallest(rows, "key", max_train, 11)
 
+    @frugal
     def fit(batches):
         ds, fs, ys, n = [], [], [], 0
         for b in batches:
@@ -188,6 +191,7 @@ def score(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -
     weights = spark.sparkContext.broadcast((model["w"], model.get("values", np.ones(1 << model["bits"], np.float32))))
     bits, bias, scale = model["bits"], model["bias"], model["scale"]
 
+    @frugal
     def run(batches):
         w, values = weights.value
         for b in batches:
@@ -218,10 +222,10 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("key"), F.lit(1 << BITS)) + 1
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(labels.where("key is not null").select(place.alias("x"))))
 
+    @frugal
     def marked(batches):
-        bits = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            yield b.select(["key", "text"]).filter(pa.array(bits[b.column(2).to_numpy() - 1]))
+            yield b.select(["key", "text"]).filter(pa.array(held_in(shared.value, b.column(2).to_numpy() - 1)))
 
     src = docs.where("key is not null").select("key", "text", place.alias("x")).mapInArrow(marked, "key long, text string")
     return stored(src.join(labels.hint("merge"), "key"))

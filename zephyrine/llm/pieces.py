@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spill import stored
-from .textops import columns
+from .textops import columns, frugal
 
 ROW = "piece long, bucket int, kind int, body binary"
 NAMES = ["piece", "bucket", "kind", "body"]
@@ -94,6 +94,7 @@ def cut(df: DataFrame, key: str, text: str, store: bool = True, most: int = PIEC
     every time; if they should not, the answers don't fit their piece and the job stops.
     """
 
+    @frugal
     def run(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
         ids: list[np.ndarray] = []
@@ -163,6 +164,7 @@ def groups(batches, field: str) -> Iterator[tuple[int, list[tuple[int, int, int,
 def ask(pieces: Pieces, questions: Callable[[int, bytes], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
     """The questions of all pieces."""
 
+    @frugal
     def run(batches):
         for b in batches:
             for piece, body in zip(b.column(0).to_pylist(), b.column(3), strict=True):
@@ -179,6 +181,7 @@ def ask(pieces: Pieces, questions: Callable[[int, bytes], Iterator[tuple[int, in
 def answer(asked: DataFrame, buckets: int, decide: Callable[[int, list], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
     """``decide`` sees all blocks of one bucket."""
 
+    @frugal
     def run(batches):
         for bucket, held in groups(batches, "bucket"):
             out = list(decide(bucket, held))
@@ -191,6 +194,7 @@ def answer(asked: DataFrame, buckets: int, decide: Callable[[int, list], Iterato
 def meet(frame: DataFrame, answers: DataFrame, n: int, finish: Callable[[int, bytes, list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``finish`` sees a piece's texts and all answers to it."""
 
+    @frugal
     def run(batches):
         for piece, held in groups(batches, "piece"):
             yield from finish(piece, held[0][3], held[1:])

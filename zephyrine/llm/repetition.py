@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textops import combine, columns, covered, mix, repeated, slices, words
+from .textops import columns, combine, covered, frugal, mix, repeated, slices, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -116,6 +116,7 @@ def figures(data: np.ndarray, offsets: np.ndarray, min_repeat: int, max_covered:
 def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: int = 8, max_covered: float = 0.35, max_repeat: int = 64) -> DataFrame:
     """One row per input row: the key and COLUMNS."""
 
+    @frugal
     def run(batches):
         for b in batches:
             _, data, off = columns(b, "key", "text")
@@ -133,6 +134,7 @@ def keep_good(df: DataFrame, key: str = "doc_id", text: str = "text", min_repeat
     """The input's rows, all columns, without those that the rules reject; one pass, no join."""
     fields, schema = df.columns, df.schema
 
+    @frugal
     def run(batches):
         for b in batches:
             _, data, off = columns(b, key, text)

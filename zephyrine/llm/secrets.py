@@ -23,7 +23,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textops import sha256
+from .textops import frugal, sha256
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -162,6 +162,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", min_log10_guess
     """One row per input row: the key, and ``found``: array of (kind, start, end)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @frugal
     def run(batches):
         for b in batches:
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t.as_py(), min_log10_guesses)] for t in b.column(1)]
@@ -176,6 +177,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = ("assign", "access", "hex")
 
+    @frugal
     def digest(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]

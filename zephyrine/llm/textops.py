@@ -8,7 +8,10 @@ offsets of words in UTF-8 are exact.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,36 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+@functools.lru_cache(1)
+def _libc():
+    """The C library, told once to map large arrays on their own, so that freeing them gives them back; None if it isn't glibc."""
+    try:
+        lib = ctypes.CDLL("libc.so.6")
+        lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; fixed, where it would grow with what was freed
+        return lib
+    except (OSError, AttributeError):
+        return None
+
+
+def frugal(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function for ``mapInArrow`` that gives the memory it used back to the system at its end.
+
+    Python workers are reused from task to task and idle between stages; what one keeps is missing to the others.
+    """
+
+    @functools.wraps(run)
+    def inner(batches, *args, **kw):
+        lib = _libc()
+        try:
+            yield from run(batches, *args, **kw)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if lib is not None:
+                lib.malloc_trim(0)
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value (splitmix64's)."""
     x = x ^ (x >> _U(30))
@@ -128,6 +161,14 @@ def covered(starts: np.ndarray, lengths: np.ndarray | int, n: int) -> np.ndarray
     return np.cumsum(d[:n]) > 0
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(data: np.ndarray, a: int, b: int) -> str:
     return data[a:b].tobytes().decode("utf-8", "replace")
 

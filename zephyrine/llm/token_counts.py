@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .textops import slices
+from .textops import frugal, slices
 
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -126,6 +126,7 @@ def counter(path: str) -> Counter:
 def count_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the key, ``n_bytes`` of the UTF-8 text, and ``n_tokens``."""
 
+    @frugal
     def run(batches):
         c = counter(tokenizer)  # stays with a reused Python worker from task to task
         for b in batches:
