@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from llm_fixtures import SCHEMA, rows, words
 
-from zephyrine.llm import components, katz, latent, line_dedup, nbsvm, near_dup
+from zephyrine.llm import components, katz, latent, line_dedup, nbsvm, near_dup, pieces
 
 
 def components_of(n, links):
@@ -124,35 +124,69 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert [(got[i].n_exact, got[i].n_near) for i in range(3)] == [(0, 0), (3, 0), (1, 0)]
 
 
-def test_katz(docs, small, nothing):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz(docs, small, nothing, order):
     toks = {i: [*words(t), None] for i, t in small}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
-    uni, bi, ctx = Counter(), Counter(), Counter()
-    for i, w in toks.items():
+    counts, ctx = [Counter() for _ in range(order)], Counter()
+    grams = {i: [[(*["<s>"] * order, *w)[order + k - n : order + k + 1] for n in range(order)] for k in range(len(w))] for i, w in toks.items()}
+    for i, gs in grams.items():
         if not held[i]:
-            pairs = list(zip(["<s>", *w[:-1]], w, strict=True))
-            uni.update(w), bi.update(pairs), ctx.update(x for x, _ in pairs)
+            for g in gs:
+                for n, x in enumerate(g):
+                    counts[n][x] += 1
+                    ctx[x[:-1]] += n > 0
     k = 5
     total = lambda c: np.array([0, *(sum(v == r for v in c.values()) for r in range(1, k + 2)), sum(c.values()), len(c)])
-    m = katz.Model(total(uni), total(bi), k)
+    m = katz.Model(np.array([total(c) for c in counts]), k)
     dis = lambda c, d: d[c] * c if c <= k else c - d[0]
-    p1 = lambda w: dis(uni[w], m.du) / m.n if uni[w] else m.unknown
-    assert abs(sum(p1(w) for w in uni) + m.unknown - 1) < 1e-9
-    seen, mass = Counter(), Counter()
-    for (v, w), c in bi.items():
-        seen[v] += dis(c, m.db) / ctx[v]
-        mass[v] += p1(w)
-    alpha = {v: (1 - seen[v]) / (1 - mass[v]) for v in ctx}
-    for v in list(ctx)[:10]:  # exactly normalised
-        assert abs(sum(dis(bi[v, w], m.db) / ctx[v] if (v, w) in bi else alpha[v] * p1(w) for w in uni) + alpha[v] * m.unknown - 1) < 1e-9
-    got = {r.doc_id: r for r in katz.score(docs).collect()}
+    uni = counts[0]
+
+    def direct(x):  # the share of a seen n-gram
+        return dis(counts[len(x) - 1][x], m.d[len(x) - 1]) / (ctx[x[:-1]] if len(x) > 1 else m.n)
+
+    after = {}
+    for c in counts[1:]:
+        for x in c:
+            after.setdefault(x[:-1], []).append(x)
+    alpha = {c: (1 - sum(map(direct, xs))) / (1 - sum(direct(x[1:]) for x in xs)) for c, xs in after.items()}
+
+    def p(x):
+        if counts[len(x) - 1][x]:
+            return direct(x)
+        return m.unknown if len(x) == 1 else alpha.get(x[:-1], 1) * p(x[1:])
+
+    assert abs(sum(p(w) for w in uni) + m.unknown - 1) < 1e-9
+    for c in list(alpha)[:10] + list(alpha)[-10:]:  # exactly normalised
+        assert abs(sum(p((*c, *w)) for w in uni) + p((*c, "never seen")) - 1) < 1e-9
+    got = {r.doc_id: r for r in katz.score(docs, order=order).collect()}
     for i, w in toks.items():
-        s = sum(math.log10(dis(bi[v, x], m.db) / ctx[v]) if (v, x) in bi else math.log10(p1(x) * alpha.get(v, 1)) for v, x in zip(["<s>", *w[:-1]], w, strict=True))
-        b = sum(math.log10((uni.get(x, 0) + 1) / (m.n + m.v + 1)) for x in w)
+        s = sum(math.log10(p(g[-1])) for g in grams[i])
+        b = sum(math.log10((uni.get((x,), 0) + 1) / (m.n + m.v + 1)) for x in w)
         r = got[i]
         assert math.isclose(r.score, s, rel_tol=1e-7) and math.isclose(r.base_score, b, rel_tol=1e-9)
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in uni for x in w), m.n)
-    assert katz.score(nothing).count() == 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum((x,) in uni for x in w), m.n)
+    assert katz.score(nothing, order=order).count() == 0
+
+
+def test_katz_when_splits_change(spark, sf, tmp_path, monkeypatch):
+    """Texts cut anew are cut the same, though the settings that decide on splits change between two reads."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d.repartition(6).write.parquet(f"{tmp_path}/d")
+    want = {r.doc_id: (r.n_tokens, round(r.score, 6)) for r in katz.score(d).collect()}
+    monkeypatch.setattr(pieces, "release", lambda df: spark.conf.set("spark.sql.files.maxPartitionBytes", "20000"))  # between the reads
+    try:
+        got = {r.doc_id: (r.n_tokens, round(r.score, 6)) for r in katz.score(spark.read.parquet(f"{tmp_path}/d"), store=False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+def test_answers_to_another_cut_are_refused():
+    keys = np.array([3, 5, 2**63], np.uint64)
+    pieces.check([pieces.digest(keys[:1]), pieces.digest(keys[1:])], keys)
+    with pytest.raises(ValueError, match="cut"):
+        pieces.check([pieces.digest(keys[:2])], keys)
 
 
 def test_nbsvm_held_out(spark):

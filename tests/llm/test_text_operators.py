@@ -97,11 +97,10 @@ def test_whole_tokens_are_proved():
     assert all(len(t.encode(w, add_special_tokens=False).ids) == 1 for w in some)
 
 
-@pytest.mark.parametrize("store", [True, False])
-def test_bpe_round_trip(spark, small, store):
+def test_bpe_round_trip(spark, small):
     t = token_counts.load(TOKENIZER)
     texts = [*small, *enumerate(ODD, 5000)]
-    got = {r.doc_id: r for r in bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), TOKENIZER, keep_ids=True, store=store).collect()}
+    got = {r.doc_id: r for r in bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), TOKENIZER, keep_ids=True).collect()}
     for i, x in texts:
         ids = t.encode(x or "", add_special_tokens=False).ids
         text = t.decode(ids, skip_special_tokens=False)

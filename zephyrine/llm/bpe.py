@@ -8,8 +8,8 @@ them together as the tokenizer's decoder does: this vocabulary has none, so piec
 one space.
 
 Null and empty texts encode to no ids and decode to an empty text. Special tokens' strings inside a
-text become their ids, as the library does by default. A repeated row gives a repeated result. Only
-key and text are read.
+text become their ids, as the library does by default. A repeated row gives a repeated result, null ids
+stay null, an empty table gives an empty one; ties don't arise. Only key and text are read. A long text is a piece of its own.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def unzip_lines(b: bytes) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(b).decode().split("\n")
 
 
-def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a piece: sorted distinct word hashes, start and end of one occurrence; document and index of every word."""
     docs, sts, ens, hs = [], [], [], []
     for i, j in slices(offsets):
@@ -82,36 +82,40 @@ def encode_words(path: str, todo: list[str]) -> list[str]:
     return out
 
 
-def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False, store: bool = True) -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per input row: key, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the
-    ids (array of int) and the decoded text. ``store=False`` is for plain reads of files (see ``cut``)."""
-    pieces = P.cut(df, key, text, store=store)
+    ids (array of int) and the decoded text.
+
+    The pieces are dealt once, by name; from there they ask, and there the answers come back to them (Spark reuses the exchange).
+    """
     n_pieces = P.count_of(df, text)
-    buckets = P.buckets_for(pieces, n_pieces)
+    buckets = P.buckets_for(df.sparkSession, n_pieces // 8)
+    n = 4 * n_pieces
+    dealt = P.cut(df, key, text, store=False).frame.repartition(n, "piece")
 
     def questions(piece: int, body: bytes) -> Iterator:
-        _, data, off = P.texts_of(body)
-        keys, st, en, _, _ = distinct(data, off)
+        _, _, data, off = P.texts_of(body)
+        keys, st, en, _, _ = distinct_words(data, off)
         at = P.bounds(keys, buckets)
         raw = data.tobytes()
-        spell = [raw[s:e].decode("utf-8", "replace") for s, e in zip(st.tolist(), en.tolist(), strict=True)]
         for k in range(buckets):
             if at[k] < at[k + 1]:
-                yield piece, k, 0, zip_lines(spell[at[k] : at[k + 1]])
+                spell = [raw[s:e].decode("utf-8", "replace") for s, e in zip(st[at[k] : at[k + 1]].tolist(), en[at[k] : at[k + 1]].tolist(), strict=True)]
+                yield piece, k, 0, P.join(P.digest(keys[at[k] : at[k + 1]]), zip_lines(spell))
 
     def decide(_: int, held: list) -> Iterator:
-        asked = [(piece, bucket, unzip_lines(body)) for piece, bucket, _, body in held]
-        todo = sorted(set().union(*(w for _, _, w in asked)))
+        asked = [(piece, bucket, *P.split(body)) for piece, bucket, _, body in held]
+        todo = sorted(set().union(*(unzip_lines(w) for *_, w in asked)))
         ids = dict(zip(todo, encode_words(tokenizer, todo), strict=True))
-        for piece, bucket, ws in asked:
-            yield piece, bucket, 1, zip_lines([ids[w] for w in ws])
+        for piece, bucket, digest, w in asked:
+            yield piece, bucket, 1, P.join(digest, zip_lines([ids[x] for x in unzip_lines(w)]))
 
     def finish(_: int, body: bytes, answers: list) -> Iterator[pa.RecordBatch]:
-        key_of, data, off = P.texts_of(body)
-        keys, _, _, doc, inverse = distinct(data, off)
-        ids = [x for _, _, _, b in answers for x in unzip_lines(b)]
-        if len(ids) != len(keys):
-            raise ValueError("the answers are not this piece's")
+        key_of, null, data, off = P.texts_of(body)
+        words_, _, _, doc, inverse = distinct_words(data, off)
+        parts = [P.split(b) for *_, b in answers]
+        P.check([d for d, _ in parts], words_)
+        ids = [x for _, b in parts for x in unzip_lines(b)]
         pieces_of = vocabulary(tokenizer)
         decoded = [" ".join([pieces_of[int(i)] for i in x.split()]) for x in ids]
         sizes = np.array([x.count(" ") + 1 if x else 0 for x in ids] or [0], np.int64)
@@ -123,17 +127,16 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             a, t = " ".join([ids[k] for k in at if ids[k]]), " ".join([decoded[k] for k in at if ids[k]])
             for c, x in zip(cols, (int(sizes[own].sum()), sha256(a.encode()), sha256(t.encode()), list(map(int, a.split())) if keep_ids else None, t if keep_ids else None), strict=True):
                 c.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-        both = [key_of, *cols][: 6 if keep_ids else 4]
-        keys = pa.array(key_of, pa.int64(), mask=key_of == -1)
-        yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(both[1:], kinds[1:]))], ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(both)])
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if keep_ids else 3]
+        yield pa.RecordBatch.from_arrays([pa.array(key_of, mask=null), *(pa.array(c, k) for c, k, _ in zip(cols, kinds, names))], ["key", *names])
 
-    answers = P.answer(P.ask(pieces, questions), buckets, decide)
+    answers = P.answer(P.ask(P.Pieces(dealt, None, None), questions), buckets, decide)
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
-    return P.meet(pieces.frame, answers, 4 * max(n_pieces, 1), finish, schema).withColumnRenamed("key", key)
+    return P.reunite(dealt, answers, n, finish, schema).withColumnRenamed("key", key)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), store=False)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -6,7 +6,7 @@ symbols) as further indicators. Every indicator is scaled by its log-count ratio
 classes, smoothed by ``alpha``; the counts are taken in Spark over **all** labelled training rows.
 A linear model with the hinge loss is then fitted to the scaled, length-normalised features by
 dual coordinate descent, on at most ``max_train`` training rows (the documented bound on the fit;
-the rows with the smallest hash of the id), in one task. The model is a vector of ``2**bits`` numbers,
+the rows with the smallest hash), in one task. Columns of features seen in fewer than ``min_count`` training rows have no weight. The model is a vector of ``2**bits`` numbers,
 whose size is fixed, and it is broadcast for scoring. Scores are a logistic curve of the margin.
 
 Null and empty texts get the score of the bias and the length bands alone. Rows with a null label
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .near_dup import BITS, bitmap, held_in
 from .spill import stored
-from .textops import columns, combine, frugal, mix, slices, smallest, words
+from .textops import columns, combine, distinct, frugal, mix, slices, smallest, words
 
 U = np.uint64
 KINDS = np.zeros(256, np.uint8)
@@ -72,14 +72,14 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     order = np.lexsort((h, doc))
     fresh = np.ones(len(h), bool)
     fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])
-    distinct = np.bincount(doc[order][fresh], minlength=n)
-    bands = [np.log2(n_words + 1).astype(int), (10 * distinct / np.maximum(n_words, 1)).astype(int), (20 * _mean(kinds > 4, edges)).astype(int), (10 * _mean(kinds == 2, edges)).astype(int), (20 * _mean(part == 10, edges)).astype(int)]
+    n_distinct = np.bincount(doc[order][fresh], minlength=n)
+    bands = [np.log2(n_words + 1).astype(int), (10 * n_distinct / np.maximum(n_words, 1)).astype(int), (20 * _mean(kinds > 4, edges)).astype(int), (10 * _mean(kinds == 2, edges)).astype(int), (20 * _mean(part == 10, edges)).astype(int)]
     for k, band in enumerate(bands):
         docs.append(np.arange(n))
         keys.append(mix(band.astype(np.uint64) | U((k + 2) << 42)))
     d = np.concatenate(docs).astype(np.uint64)
     column = np.concatenate(keys) >> U(64 - bits)
-    both = np.unique(d << U(bits) | column)
+    both = distinct(d << U(bits) | column)
     return (both >> U(bits)).astype(np.int64), (both & U((1 << bits) - 1)).astype(np.int64)
 
 
@@ -115,7 +115,7 @@ def fit_hinge(indptr: np.ndarray, cols: np.ndarray, y: np.ndarray, values: np.nd
     return w, bias
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "key", bits: int = 18, alpha: float = 1.0, c: float = 1.0, max_train: int = 6000, epochs: int = 20) -> dict:
+def train(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "key", bits: int = 18, alpha: float = 1.0, c: float = 1.0, max_train: int = 6000, epochs: int = 20, min_count: int = 3) -> dict:
     """Fit on rows (key, text, label 0/1). Returns the model: its column weights and the bias."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"))
     size = 1 << bits
@@ -160,8 +160,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label", key: st
         return model
     share = (counts + alpha) / (counts + alpha).sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
-    values = np.where(counts.sum(axis=0) >= 3, ratio, 0.0).astype(np.float32)
-    sample = smallest(rows, "key", max_train, 11)
+    values = np.where(counts.sum(axis=0) >= min_count, ratio, 0.0).astype(np.float32)
+    sample = smallest(rows, max_train, 11)
 
     @frugal
     def fit(batches):

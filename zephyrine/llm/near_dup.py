@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .pieces import pack_sorted, unpack_sorted
 from .spill import stored
-from .textops import columns, combine, frugal, mix, slices, words
+from .textops import columns, combine, distinct, frugal, mix, slices, words
 
 U = np.uint64
 SKETCH = 64
@@ -63,7 +63,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     for i in range(n):
         a, b = int(edges[i]), int(edges[i + 1])
         if b - a >= width:
-            out.append(np.unique(key[a : b - width + 1]))
+            out.append(distinct(key[a : b - width + 1]))
         elif b > a:  # the whole sequence is one shingle
             whole = h[a : a + 1]
             for j in range(a + 1, b):
@@ -313,7 +313,7 @@ def _compare(agree_of, least: int, most: int):
         i, j = _candidates(rows, agree_of, least)
         if not len(i):
             return
-        involved = np.unique(np.concatenate((i, j)))
+        involved = distinct(np.concatenate((i, j)))
         keep = _forest(i, j, node, label)
         i, j = i[keep], j[keep]
         yield _found(EDGE, path[i], g[i], g[j], key[i], key[j])
@@ -367,7 +367,7 @@ def _settle(agree_of, least: int, judge):
             n = np.bincount(np.concatenate((i, j)), minlength=len(g))
             x = int(n.argmax())  # the row in most open pairs
             mine = (i == x) | (j == x)
-            others = np.unique(np.where(i[mine] == x, j[mine], i[mine]))
+            others = distinct(np.where(i[mine] == x, j[mine], i[mine]))
             for y in others[true_of(x, others)].tolist():
                 if label[x] != label[y]:
                     a.append(g[x]), b.append(g[y])

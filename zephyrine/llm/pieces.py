@@ -14,6 +14,7 @@ zstd-compressed. All is deterministic, so lost tasks can be run again.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -22,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from .spill import stored
-from .textops import columns, frugal
+from .textops import absent, columns, frugal, mix
 
 ROW = "piece long, bucket int, kind int, body binary"
 NAMES = ["piece", "bucket", "kind", "body"]
@@ -90,14 +93,16 @@ def cut(df: DataFrame, key: str, text: str, store: bool = True, most: int = PIEC
     """Texts as pieces of about ``most`` bytes (a longer text is a piece of its own).
 
     Stored, the pieces can come from any plan. Without, they are cut anew each time they are read,
-    which saves their space and is for plain reads of files, whose rows come in the same order
-    every time; if they should not, the answers don't fit their piece and the job stops.
+    which saves their space and is for plain reads of files: ``same_splits`` keeps the files' splits, and so
+    the cut, the same from read to read, whatever executors come and go; and every answer carries the digest of the keys it
+    answers, so that answers to another cut could never pass for this one's.
     """
 
     @frugal
     def run(batches):
         base, n = TaskContext.get().partitionId() << 32, 0
         ids: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         texts: list[bytes] = []
         held = 0
@@ -106,21 +111,23 @@ def cut(df: DataFrame, key: str, text: str, store: bool = True, most: int = PIEC
             nonlocal n, held
             if not ids:
                 return None
-            body = join(pack(np.concatenate(ids)), pack(np.concatenate(sizes)), zstandard.ZstdCompressor(level=3).compress(b"".join(texts)))
+            body = join(pack(np.concatenate(ids)), pack(np.concatenate(nulls)), pack(np.concatenate(sizes)), zstandard.ZstdCompressor(level=3).compress(b"".join(texts)))
             row = rows([(base + n, TEXTS, TEXTS, body)])
             n += 1
             held = 0
-            ids.clear(), sizes.clear(), texts.clear()
+            ids.clear(), nulls.clear(), sizes.clear(), texts.clear()
             return row
 
         for b in batches:
             key_of, data, off = columns(b, "key", "text")
+            null = absent(b, "key").astype(np.uint8)
             a = 0
             while a < len(key_of):
                 e = int(np.searchsorted(off, off[a] + max(0, most - held), "right")) - 1
                 e = min(max(e, a + (not held)), len(key_of))
                 if e > a:
                     ids.append(key_of[a:e])
+                    nulls.append(null[a:e])
                     sizes.append(np.diff(off[a : e + 1]))
                     texts.append(data[off[a] : off[e]].tobytes())
                     held += int(off[e] - off[a])
@@ -140,11 +147,45 @@ def count_of(df: DataFrame, text: str, most: int = PIECE_BYTES) -> int:
     return int(df.agg(F.sum(F.octet_length(df[text].cast("string")))).first()[0] or 0) // most + 1
 
 
-def texts_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, bytes and offsets of a piece's texts."""
-    ids, sizes, texts = split(body)
+@contextlib.contextmanager
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def same_splits(spark: SparkSession) -> Callable[[], contextlib.AbstractContextManager]:
+    """Contexts in which files are split as they would be now.
+
+    Splits follow three settings and the number of cores, which changes when executors come and go.
+    """
+    cores = spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism)
+    now = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")} | {"spark.sql.files.minPartitionNum": cores}
+    return lambda: _set(spark, now)
+
+
+def digest(keys: np.ndarray) -> bytes:
+    """Of a set of 64-bit keys; digests of parts add up."""
+    return int(np.add.reduce(mix(keys))).to_bytes(8, "little")
+
+
+def check(digests: list[bytes], keys: np.ndarray) -> None:
+    """Answers' digests must add up to that of the keys that were asked."""
+    if sum(int.from_bytes(d, "little") for d in digests) % 2**64 != int.from_bytes(digest(keys), "little"):
+        raise ValueError("the answers are to another cut of the texts")
+
+
+def texts_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, which of them are null, bytes and offsets of a piece's texts."""
+    ids, nulls, sizes, texts = split(body)
     offsets = np.concatenate(([0], np.cumsum(unpack(sizes, np.int64))))
-    return unpack(ids, np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(texts, max_output_size=int(offsets[-1])), np.uint8) if offsets[-1] else np.zeros(0, np.uint8), offsets
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts, max_output_size=int(offsets[-1])), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+    return unpack(ids, np.int64), unpack(nulls, np.uint8).astype(bool), data, offsets
 
 
 def groups(batches, field: str) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
@@ -202,9 +243,22 @@ def meet(frame: DataFrame, answers: DataFrame, n: int, finish: Callable[[int, by
     return frame.unionByName(answers).repartition(n, "piece").sortWithinPartitions("piece", "kind", "bucket").mapInArrow(run, schema)
 
 
-def buckets_for(pieces: Pieces, n_pieces: int) -> int:
-    """Buckets follow the input: as many as pieces, and at least the session's shuffle partitions."""
-    return max(int(pieces.frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pieces, 1)
+def reunite(frame: DataFrame, answers: DataFrame, n: int, finish: Callable[[int, bytes, list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Like ``meet``, for pieces that are dealt to ``n`` partitions by name already, and stay there: only answers travel."""
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(schema)])
+
+    def run(piece, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        held = sorted(theirs.select(NAMES).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        out = [b for body in mine.column("body").to_pylist() for b in finish(piece[0].as_py(), body, [tuple(r.values()) for r in held])]
+        return pa.Table.from_batches(out).cast(kinds) if out else kinds.empty_table()
+
+    dealt = answers.repartition(n, "piece")
+    return frame.groupBy("piece").cogroup(dealt.groupBy("piece")).applyInArrow(run, schema)
+
+
+def buckets_for(spark: SparkSession, n_pieces: int) -> int:
+    """Buckets follow the input, and are at least the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pieces, 1)
 
 
 def release(df: DataFrame) -> None:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .textops import frugal, sha256
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words before a value that make it a credential.
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "auth_key", "credential", "credentials", "bearer")
-CONTEXT = re.compile(r"""(?i:(?<![a-z])(?:%s))["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+)["'`]?([^\x09-\x0D\x20"'`,;<>|]{6,})""" % "|".join(map(re.escape, sorted(CONTEXT_WORDS, key=len, reverse=True))))
+CONTEXT = re.compile(r"""(?ai:(?<![a-z])(?:%s))["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+)["'`]?([^\x09-\x0D\x20"'`,;<>|]{6,})""" % "|".join(map(re.escape, sorted(CONTEXT_WORDS, key=len, reverse=True))))
 HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "bearer")
 #: Words that people choose, the likeliest first.
 COMMON_WORDS = ("password", "admin", "welcome", "login", "letmein", "master", "secret", "dragon", "monkey", "football", "baseball", "shadow", "sunshine", "princess", "iloveyou", "trustno", "hello", "freedom", "whatever", "starwars", "computer", "internet", "test", "user", "root", "guest", "default", "change", "changeme", "example", "sample", "demo", "temp", "public", "private", "server", "system", "manager", "summer", "winter", "spring", "autumn", "love", "money", "token", "pass", "word", "key", "my", "the", "your", "new", "old", "none", "null", "true", "false", "value", "string", "here", "insert", "replace", "foo", "bar", "baz", "dummy", "placeholder")
@@ -145,11 +145,14 @@ def spans_of(text: str, min_log10_guesses: float = 10.0) -> list[tuple[str, int,
     if any(h in low for h in HINTS):
         assign = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
         out += [("assign", a, b) for a, b in assign]
+        near = 0  # spans of both patterns come in order and don't overlap their own kind
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
             while b - a > 6 and text[b - 1] in ".!?)]}":
                 b -= 1
-            if not any(x <= a and b <= y for x, y in assign) and guess_cost(text[a:b], min_log10_guesses) >= min_log10_guesses:
+            while near < len(assign) and assign[near][1] < b:
+                near += 1
+            if not (near < len(assign) and assign[near][0] <= a) and guess_cost(text[a:b], min_log10_guesses) >= min_log10_guesses:
                 out.append(("guess", a, b))
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
