@@ -45,7 +45,6 @@ def shingles(t, width):
 @pytest.mark.parametrize(("width", "kw"), [(2, {}), (5, {"small": 4, "first": 1, "last": 2})])
 def test_near_duplicates(docs, small, width, kw, monkeypatch):
     monkeypatch.setattr(near_dup.PairJoin, "block", 3)
-    monkeypatch.setattr(near_dup, "BLOCKED", 6)
     s = [shingles(t, width) for _, t in small]
     links = [(a, b) for a in range(len(s)) for b in range(a) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
     want = components_of(len(s), links)

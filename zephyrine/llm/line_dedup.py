@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dup import BITS, PairJoin, _blocks_of, bitmap, by_hot, held_in
+from .near_dup import BITS, PairJoin, bitmap, by_hot, held_in
 from .pieces import bounds, join, pack, pack_sorted, split, unpack, unpack_sorted
 from .spill import stored
 from .textops import columns, combine, fresh, frugal, mix, slices
@@ -295,7 +295,7 @@ class LineJoin(PairJoin):
         members = nodes.join(self.texts.select("g", "small"), "g").select("path", "g", F.col("g").alias("label"), F.lit(0).cast("long").alias("key"), "small")
         found = self.find(members, nodes.groupBy("path").agg(F.count("*").alias("n")), nodes.count())
         again = self.absorb(found)
-        units = _blocks_of(self.unresolved(found), self.block)
+        units = self.units(self.unresolved(found))
         self.settle(units if again is None else units.unionByName(again))
         return self.labels
 

@@ -11,10 +11,10 @@ Nodes of at most ``small`` classes are compared exhaustively by their sketches,
 task; of the pairs that may be similar only a spanning forest comes out, the likeliest pairs first, so
 a node never gives more rows than it has members. A larger node links all its classes to its smallest one (a star).
 These links are confirmed on the full sets. What is left is settled inside tasks, on full sets: small nodes
-of which a link was refuted, and large nodes whose classes then lie in several components,
-dealt to pairs of blocks of ``block`` members. There every pair that may be similar and lies between
-components is verified, and only true links come out, again as a forest. Large nodes of more than
-``BLOCKED`` members are branched again before, down to depth ``last``.
+of which a link was refuted, and large nodes whose classes then lie in several components:
+their members go to blocks of ``block``, those outside the node's largest component to all of them. There every
+pair that may be similar and lies between components is verified, and only true links come out, again as a forest.
+Large nodes for which that would take more than twice their members are branched again instead, down to depth ``last``.
 
 Chance of missing a pair: at similarity 0.8 a tree with branch 2 misses it with 0.06, four trees
 with 1.3e-5; above that less. A sketch hides a true link with less than 2e-6.
@@ -48,7 +48,6 @@ MULTIPLY = _RNG.integers(1, 2**63, SKETCH, dtype=U) * U(2) + U(1)
 ADD = _RNG.integers(0, 2**63, SKETCH, dtype=U)
 AGREE = 35  # of 64; a pair of similarity 0.8 has fewer with probability under 2e-6
 BITS = 24
-BLOCKED = 2048  # members of a node that is dealt to blocks rather than branched
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -495,12 +494,25 @@ class PairJoin:
         return found.where(F.col("kind") == SMALL_MEMBER).join(bad, "path", "left_semi").select("path", F.col("a").alias("g"), F.col("ka").alias("key"), "small")
 
     def unresolved(self, found: DataFrame) -> DataFrame:
-        """Members of large nodes that hold several components: (path, g, label, key, small, n)."""
+        """Members of large nodes that hold several components: (path, g, key, small), the node's size ``n`` and number of
+        ``blocks``, whether a member is ``apart`` from the node's largest component, and how many (``k``) are."""
         large = found.where(F.col("kind") == LARGE_MEMBER).select("path", F.col("a").alias("g"), F.col("ka").alias("key"), "small")
         lab = stored(self.labelled(large).select(*MEMBERS))
-        nodes = stored(lab.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")))
-        open_ = nodes.where("lo <> hi").select("path", "n")
-        return stored(by_hot(lab, open_, "path", nodes, lab.count()).where("n is not null").select(*MEMBERS, "n"))
+        parts = lab.groupBy("path", "label").agg(F.count("*").alias("c"))
+        nodes = stored(parts.groupBy("path").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")))
+        open_ = nodes.where("top.c < n").select("path", "n", F.col("top.label").alias("most"), (F.col("n") - F.col("top.c")).alias("k"))
+        mine = by_hot(lab, open_, "path", nodes, lab.count()).where("n is not null")
+        return stored(mine.select("path", "g", "key", "small", "n", "k", (F.col("label") != F.col("most")).alias("apart"), F.ceil(F.col("n") / self.block).cast("long").alias("blocks")))
+
+    @staticmethod
+    def units(open_: DataFrame) -> DataFrame:
+        """Members dealt to blocks, (path, g, key, small): those apart from the largest component to every block, the others to one.
+
+        So all pairs between components meet; others lie in the largest component.
+        """
+        one = F.array(F.pmod(F.xxhash64("g"), F.col("blocks")))
+        dealt = open_.withColumn("i", F.explode(F.when(F.col("apart"), F.expr("sequence(0L, blocks - 1)")).otherwise(one)))
+        return dealt.select(F.xxhash64("path", "i").alias("path"), "g", "key", "small")
 
     def settle(self, units: DataFrame) -> None:
         """Verify all pairs between components within units (path, g, key, small), and link."""
@@ -592,13 +604,6 @@ class SetJoin(PairJoin):
         return lambda bodies: _Overlap(bodies, percent)
 
 
-def _blocks_of(open_: DataFrame, size: int) -> DataFrame:
-    """Members dealt to pairs of blocks of about ``size``, so that all pairs of a node meet: (path, g, key, small)."""
-    mine = open_.withColumn("blocks", F.ceil(F.col("n") / size).cast("long")).withColumn("i", F.pmod(F.xxhash64("g"), F.col("blocks")))
-    dealt = mine.withColumn("k", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    return dealt.select(F.xxhash64("path", F.least("i", "k"), F.greatest("i", "k")).alias("path"), "g", "key", "small")
-
-
 def by_hot(df: DataFrame, table: DataFrame, on: str, counts: DataFrame, total: int) -> DataFrame:
     """``df`` left join ``table`` on a column of whose values some hold much of ``df``.
 
@@ -625,8 +630,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         found = j.find(members, sizes, total)
         again = j.absorb(found)
         open_ = j.unresolved(found)
-        deep = F.lit(depth < last) & (F.col("n") > BLOCKED)
-        units = _blocks_of(open_.where(~deep), j.block)
+        deep = F.lit(depth < last) & (F.col("blocks") > 1) & (F.col("k") * F.col("blocks") > F.col("n"))
+        units = j.units(open_.where(~deep))
         j.settle(units if again is None else units.unionByName(again))
         deeper = open_.where(deep)
         if depth == last or not deeper.limit(1).count():

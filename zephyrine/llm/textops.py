@@ -34,11 +34,10 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 @functools.lru_cache(1)
 def _libc():
-    """The C library, told once to map large arrays on their own, so that freeing them gives them back; None if it isn't glibc."""
+    """The C library, if it is one that can give freed memory back."""
     try:
         lib = ctypes.CDLL("libc.so.6")
-        lib.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; fixed, where it would grow with what was freed
-        return lib
+        return lib if lib.malloc_trim else None
     except (OSError, AttributeError):
         return None
 
