@@ -14,7 +14,7 @@ These links are confirmed on the full sets. What is left is settled inside tasks
 of which a link was refuted, and large nodes whose classes then lie in several components:
 their members go to blocks of ``block``, those outside the node's largest component to all of them. There every
 pair that may be similar and lies between components is verified, and only true links come out, again as a forest.
-Large nodes for which that would take more than twice their members are branched again instead, down to depth ``last``.
+Large nodes for which that would take more than three times their members are branched again instead, down to depth ``last``.
 
 Chance of missing a pair: at similarity 0.8 a tree with branch 2 misses it with 0.06, four trees
 with 1.3e-5; above that less. A sketch hides a true link with less than 2e-6.
@@ -404,7 +404,7 @@ class PairJoin:
     agree_of = staticmethod(agreement)
     least = AGREE
     small = 128
-    block = 512  # members of a block when a node is dealt to blocks
+    block = 1024  # members of a block when a node is dealt to blocks
     body = "binary"
     spark: SparkSession
     labels: DataFrame | None = None  # (node, label) of classes that have links
@@ -517,8 +517,6 @@ class PairJoin:
     def settle(self, units: DataFrame) -> None:
         """Verify all pairs between components within units (path, g, key, small), and link."""
         units = stored(self.labelled(units).select(*MEMBERS))
-        mixed = units.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("path")
-        units = stored(units.join(mixed, "path", "left_semi").select(*MEMBERS))
         if not units.limit(1).count():
             return
         full = self.bodies(units.select("g", "key").distinct())
@@ -630,7 +628,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         found = j.find(members, sizes, total)
         again = j.absorb(found)
         open_ = j.unresolved(found)
-        deep = F.lit(depth < last) & (F.col("blocks") > 1) & (F.col("k") * F.col("blocks") > F.col("n"))
+        deep = F.lit(depth < last) & (F.col("blocks") > 1) & (F.col("k") * F.col("blocks") > 2 * F.col("n"))
         units = j.units(open_.where(~deep))
         j.settle(units if again is None else units.unionByName(again))
         deeper = open_.where(deep)
