@@ -231,3 +231,63 @@ def test_streaming_sessions(spark, tmp_path):
 def test_wind_and_geometry(spark):
     r = spark.range(1).select(X.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0)).alias("d"), X.bearing_deg(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("b"), X.in_polygon(F.lit(0.5), F.lit(0.5), [(0, 0), (1, 0), (1, 1), (0, 1)]).alias("p")).first()
     assert abs(r.d - 10007.54) < 0.01 and abs(r.b - 90) < 1e-9 and r.p
+
+
+def test_regions_with_parts_and_holes(spark, tmp_path):
+    import json
+
+    from zephyrine.sources import trajectory
+
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    shapes = {"one": ("Polygon", [square(0, 1)]), "hole": ("Polygon", [square(0, 9), square(4, 6)]), "parts": ("MultiPolygon", [[square(0, 1)], [square(5, 9), square(6, 7)]])}
+    (tmp_path / "r.json").write_text(json.dumps({"features": [{"properties": {"name": n}, "geometry": {"type": k, "coordinates": c}} for n, (k, c) in shapes.items()]}))
+    regions = trajectory.load_regions(spark, str(tmp_path / "r.json"))
+    inside = lambda n, x: spark.range(1).select(X.in_region(F.lit(x), F.lit(x + 0.01), regions[n]).alias("p")).first().p
+    assert [inside("one", 0.5), inside("one", 2.0)] == [True, False]
+    assert [inside("hole", 1.0), inside("hole", 5.0)] == [True, False]
+    assert [inside("parts", x) for x in (0.5, 3.0, 5.5, 6.5, 8.0)] == [True, False, True, False, True]
+
+
+def test_fetch_of_weekly_archives(tmp_path):
+    from datetime import date
+
+    from zephyrine.errors import DataError
+    from zephyrine.sources import trajectory
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "gdas1.jan20.w1").write_bytes(b"x" * 10)
+    base, out = f"file://{tmp_path}/src", str(tmp_path / "out")
+    assert trajectory.fetch_gdas1(date(2020, 1, 1), date(2020, 1, 3), out, base) == [f"{out}/gdas1.jan20.w1"]
+    (tmp_path / "src" / "gdas1.jan20.w1").unlink()
+    assert trajectory.fetch_gdas1(date(2020, 1, 1), date(2020, 1, 9), out, base, "warn") == [f"{out}/gdas1.jan20.w1"]  # kept; the second week is left out
+    with pytest.raises(DataError):
+        trajectory.fetch_gdas1(date(2020, 1, 9), date(2020, 1, 9), out, base)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["gdas1.jan20.w1"]
+
+
+def test_covariates_before_the_cutoff_enter_the_fit(spark):
+    import numpy as np
+
+    from zephyrine.operators import panel, scm
+    from zephyrine.operators.solvers import fit_scm
+
+    rng = np.random.default_rng(3)
+    days = [datetime(2020, 1, 1 + i).date() for i in range(20)]
+    y = rng.normal(size=(5, 20)).cumsum(axis=1)
+    rows = [(d, f"u{k}", float(y[k, i]), float(k * k)) for k in range(5) for i, d in enumerate(days)]
+    src = spark.createDataFrame(rows, "date date, unit string, outcome double, height double")
+    cov = panel.pre_period_means(src, "unit", ["height"], "2020-01-15")
+    fits = scm.run_tasks(src.select("date", "unit", "outcome"), scm.tasks_table(spark, [("t", "u0", "2020-01-15", ["u1", "u2", "u3", "u4"])]), pre_covariates=cov)
+    got = {r.donor: r.weight for r in scm.weights(fits).collect()}
+    want = fit_scm(y[0], y[1:].T, np.arange(20) < 14, covariates=np.array([[0.0], [1.0], [4.0], [9.0], [16.0]]))["weights"]
+    plain = fit_scm(y[0], y[1:].T, np.arange(20) < 14)["weights"]
+    assert np.allclose([got[f"u{k}"] for k in range(1, 5)], want) and not np.allclose(want, plain)
+
+
+def test_panel_meets_tasks_by_equality(spark):
+    from zephyrine.operators import panel, scm
+
+    p = spark.createDataFrame([("2020-01-01", "a", 1.0), ("2020-01-01", "b", 2.0)], "date string, unit string, outcome double").withColumn("date", F.to_date("date"))
+    tasks = scm.tasks_table(spark, [("t", "a", "2020-01-02", ["b"])])
+    for df in (panel.did_effects(p, tasks), scm.run_tasks(p, tasks)):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()

@@ -120,8 +120,18 @@ def in_polygon(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Col
     return crossings % 2 == 1
 
 
+def in_rings(lon: Column, lat: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Even-odd rule over all rings of a region: further parts add to it, holes are cut out."""
+    inside = F.lit(False)
+    for ring in rings:
+        inside = inside != in_polygon(lon, lat, [tuple(p) for p in ring])
+    return inside
+
+
 def in_region(lon: Column, lat: Column, region) -> Column:
-    """A box (lon_min, lat_min, lon_max, lat_max), edges included, or a polygon's ring."""
+    """A box (lon_min, lat_min, lon_max, lat_max), edges included, a polygon's ring, or several rings."""
     if len(region) == 4 and not isinstance(region[0], list | tuple):
         return lon.between(region[0], region[2]) & lat.between(region[1], region[3])
+    if isinstance(region[0][0], list | tuple):
+        return in_rings(lon, lat, region)
     return in_polygon(lon, lat, [tuple(p) for p in region])

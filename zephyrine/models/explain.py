@@ -32,14 +32,16 @@ def pdp(df: DataFrame, model, variables: list[str] | None = None, training_only:
     return model.transform(x).groupBy("variable", "value").agg(F.avg("prediction").alias("pdp_mean"), F.stddev_samp("prediction").alias("pdp_std"))
 
 
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+#: Names of days and months in time order, as labels write them, whole or by three letters.
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def axis_rank(c: Column) -> Column:
     """Order of PDP labels: numbers by value, then weekday and month names in time order, then text."""
-    low = F.lower(F.substring(c.cast("string"), 1, 3))
-    place = F.create_map(*[F.lit(x) for names in (WEEKDAYS, MONTHS) for i, n in enumerate(names) for x in (n, i)])
+    low = F.lower(c.cast("string"))
+    ranks = {name: i for names in (WEEKDAYS, MONTHS) for i, n in enumerate(names) for name in (n, n[:3])}
+    place = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
     number = c.cast("string").try_cast("double")
     rank = F.try_element_at(place, low)
     return F.struct(F.when(number.isNotNull(), 0).when(rank.isNotNull(), 1).otherwise(2).alias("kind"), F.coalesce(number, rank.cast("double"), F.lit(0.0)).alias("rank"), c.cast("string").alias("label"))

@@ -19,12 +19,18 @@ def iqr_scores(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(q)).withColumn("score", s).drop("__q")  # one row
 
 
+def _latest(c, w):
+    """The last known value up to a row. Frames that look ahead are read anew for each row, so the next value is the latest one of the reverse order."""
+    return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def lagged_features(df: DataFrame, value: str, date: str = "date", lags: tuple[int, ...] = (1, 2, 3, 6, 12)) -> DataFrame:
     """x and its lags, filled forwards, then backwards, then with 0."""
     w = Window.partitionBy().orderBy(col(date))
     x = finite(value)
     out = df.withColumns({"x0": x, **{f"x{k}": F.lag(x, k).over(w) for k in lags}})
-    fill = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
+    back = Window.partitionBy().orderBy(F.desc(date))
+    fill = lambda c: F.coalesce(_latest(c, w), _latest(c, back), F.lit(0.0))
     return out.withColumns({f"x{k}": fill(F.col(f"x{k}")) for k in (0, *lags)})
 
 
@@ -166,7 +172,7 @@ def interpolate(df: DataFrame, value: str, group: str, date: str = "date") -> Da
     w = Window.partitionBy(col(group)).orderBy(col(date))
     x = finite(value)
     df = df.withColumn("__i", F.row_number().over(w)).withColumn("__v", F.when(x.isNotNull(), F.struct(F.col("__i").alias("i"), x.alias("v"))))
-    df = df.withColumns({"__p": F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.first("__v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    df = df.withColumns({"__p": _latest("__v", w), "__n": _latest("__v", Window.partitionBy(col(group)).orderBy(F.desc("__i")))})
     p, n = F.col("__p"), F.col("__n")
     line = p.v + (n.v - p.v) * (F.col("__i") - p.i) / F.when(n.i != p.i, n.i - p.i)
     return df.withColumn(value, F.coalesce(x, line, p.v, n.v)).drop("__i", "__v", "__p", "__n")
@@ -174,6 +180,6 @@ def interpolate(df: DataFrame, value: str, group: str, date: str = "date") -> Da
 
 def locf(df: DataFrame, value: str, date: str = "date", group: str | None = None) -> DataFrame:
     """The last known value carried forwards, then the first one backwards."""
-    w = (Window.partitionBy(col(group)) if group else Window.partitionBy()).orderBy(col(date))
+    w = Window.partitionBy(col(group)) if group else Window.partitionBy()
     x = finite(value)
-    return df.withColumn(value, F.coalesce(F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    return df.withColumn(value, F.coalesce(_latest(x, w.orderBy(col(date))), _latest(x, w.orderBy(F.desc(date)))))

@@ -16,6 +16,12 @@ def rounded_time(c: Column, seconds: int) -> Column:
     return F.timestamp_seconds((F.bround(F.unix_timestamp(c) / seconds, 0) * seconds).cast("long"))
 
 
+def rounded_time_join(left: DataFrame, right: DataFrame, seconds: int, date: str = "date", by: list[str] | None = None) -> DataFrame:
+    """Rows of two tables that agree in the rounded time (and ``by``): the key as ``date``, then the other columns of both."""
+    slot = lambda df: df.withColumn(date, rounded_time(col(date), seconds))
+    return slot(left).join(slot(right), [date, *(by or [])])
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, date: str = "date", by: str | None = None, columns: list[str] | None = None, tolerance: str | None = None) -> DataFrame:
     """Every left row with the right row nearest in time, the earlier one on a tie.
 
@@ -30,7 +36,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, date: str = "date", by: str
     both = l.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*map(col, keys)).orderBy("__t", "__side")
     prev = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Backwards in time the next row is the last one seen; a frame that looks ahead would be read anew for each row.
+    back = Window.partitionBy(*map(col, keys)).orderBy(F.desc("__t"), F.desc("__side"))
+    nxt = F.last("__r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     m = both.withColumns({"__p": prev, "__n": nxt}).where("__side = 1")
     gap = lambda c: F.abs(F.col("__t").cast("double") - F.col(f"{c}.__d").cast("double"))
     pick = F.when(F.col("__n").isNull() | (gap("__p") <= gap("__n")), F.col("__p")).otherwise(F.col("__n"))

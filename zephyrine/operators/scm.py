@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, warn_experimental
-from ..operators.panel import did_effects
-from ..schema import ratio
+from ..operators.panel import did_effects, task_units
+from ..schema import finite, ratio
 from .solvers import FITS
 
 PATH = "task string, kind string, date date, unit string, observed double, synthetic double, effect double, low double, high double, weight double, error string"
@@ -39,15 +39,22 @@ def tasks_table(spark, rows: list[tuple[str, str, str, list[str]]]) -> DataFrame
     return spark.createDataFrame([(t, u, str(c), list(d)) for t, u, c, d in rows], "task string, treated string, cutoff string, donors array<string>")
 
 
-def run_tasks(panel: DataFrame, tasks: DataFrame, method: str = "scm", **settings) -> DataFrame:
-    """Rows of kind "path" (task, date, observed, synthetic, effect, low, high), "weight" (task, unit, weight) and "error"."""
+def run_tasks(panel: DataFrame, tasks: DataFrame, method: str = "scm", pre_covariates: DataFrame | None = None, **settings) -> DataFrame:
+    """Rows of kind "path" (task, date, observed, synthetic, effect, low, high), "weight" (task, unit, weight) and "error".
+
+    ``pre_covariates``, a row a unit (see ``pre_period_means``), is matched along with the outcomes by method "scm".
+    """
     if method not in FITS:
         raise ConfigError(f"unknown estimator {method}; known: {', '.join(FITS)}")
     if method == "mlscm":
         warn_experimental("mlscm")
     fit = FITS[method]
-    t = F.broadcast(tasks.withColumnRenamed("treated", "__tr"))  # one row a fit
-    x = panel.select("date", "unit", "outcome").join(t, (F.col("unit") == F.col("__tr")) | F.array_contains("donors", F.col("unit")))
+    if pre_covariates is not None and method != "scm":
+        raise ConfigError("only scm matches covariates")
+    x = panel.select("date", "unit", "outcome").join(task_units(tasks), "unit")
+    extra = [c for c in pre_covariates.columns if c != "unit"] if pre_covariates is not None else []
+    if extra:
+        x = x.join(pre_covariates.select("unit", *(finite(c).alias(f"__c{i}") for i, c in enumerate(extra))), "unit", "left")
     names = [c.split()[0] for c in PATH.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,7 +66,13 @@ def run_tasks(panel: DataFrame, tasks: DataFrame, method: str = "scm", **setting
                 raise ValueError("the treated unit or its donors are missing")
             y, m = w[treated].to_numpy(float), w[donors].to_numpy(float)
             pre = pd.to_datetime(pd.Series(w.index)).to_numpy() < cut.to_datetime64()
-            r = fit(y, m, pre, **settings)
+            own = {}
+            if extra:
+                given = pdf.groupby("unit")[[f"__c{i}" for i in range(len(extra))]].first().reindex([treated, *donors]).to_numpy(float)
+                if not np.isfinite(given).all():
+                    raise ValueError("a covariate is missing")
+                own["covariates"] = given
+            r = fit(y, m, pre, **own, **settings)
             s = np.asarray(r["synthetic"], float)
             low, high = (y - r["synthetic_high"], y - r["synthetic_low"]) if "synthetic_high" in r else (np.full(len(y), np.nan),) * 2
             nothing = np.full(len(donors), np.nan)

@@ -96,15 +96,11 @@ MONTHLY = "monthly as (select cast(date_trunc('month', o_orderdate) as date) as
 CUTOFF, LAST = "1999-01-01", "2001-12-31"
 
 
-def treated_of(spark: SparkSession, sf: str) -> str:
-    """The first nation by name with orders."""
-    return monthly(spark, sf).agg(F.min("unit")).first()[0]
-
-
 def complete(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """The complete panel of well covered units, and the treated unit."""
-    t = treated_of(spark, sf)
-    return P.prepare_panel(monthly(spark, sf), "date", "unit", "outcome", CUTOFF, t, min_coverage=0.65, freq="M").data, t
+    m = monthly(spark, sf).persist()
+    t = m.agg(F.min("unit")).first()[0]
+    return P.prepare_panel(m, "date", "unit", "outcome", CUTOFF, t, min_coverage=0.65, freq="M").data, t
 
 
 GRID = (
@@ -344,9 +340,9 @@ def _rounded(df: DataFrame, names: list[str], digits: int = 4) -> DataFrame:
     return df.select(F.to_date("date").alias("date"), *(_round(c, digits).alias(c) for c in names))
 
 
-@query("normalise_portable", _normal_sql(100, 11))
+@query("normalise_portable", _normal_sql(300, 11))
 def _(spark, sf):
-    return _rounded(N.normalise(daily(spark, sf), MODEL, n_samples=100, seed=11), ["observed", "normalised"])
+    return _rounded(N.normalise(daily(spark, sf), MODEL, n_samples=300, seed=11), ["observed", "normalised"])
 
 
 @query("normalise_exhaustive", f"with {DAILY}, m as (select avg(quantity) as q, avg(discount) as d from daily) select cast(date as date) as date, round(1.23e-9 + value, 4) as observed, round(1.23e-9 + 20.0 + 1.5 * q - 2.0 * d + 1e-8 * epoch(date) + 0.25 * (isodow(date) - 1), 3) as normalised from daily, m")
@@ -718,3 +714,6 @@ def _(spark, sf):
     e = table(spark, sf, "events").groupBy(F.col("event_type").alias("site"), F.date_trunc("hour", "ts").alias("date")).agg(F.avg("value").alias("value"), F.count("*").cast("double").alias("n"))
     out, _ = multisite(e, "site", lambda d: N.normalise(d, train_model(d, "value", ["n"]), index="exhaustive"), parallelism=4)
     return out.select("site", F.date_format("date", "yyyy-MM-dd HH").alias("date"), _round("observed", 4).alias("observed"), _round("normalised", 3).alias("normalised"))
+
+
+from . import queries_more  # noqa: E402, F401  registers further queries

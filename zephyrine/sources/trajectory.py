@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import DataError
+from ..errors import ConfigError, DataError, get_logger
 from ..functions.features import bearing_deg, haversine_km, in_region
 from ..schema import col
 
@@ -80,18 +80,19 @@ def build_trajectory_features(spark: SparkSession, paths: str | list[str], regio
     return one.select(date_col, *(F.col("s").getField(c).alias(c) for c in names)).orderBy(date_col)
 
 
-def load_regions(spark: SparkSession, path: str) -> dict[str, list[tuple[float, float]]]:
-    """Named outer rings of a GeoJSON feature collection (a handful of regions, returned to the caller)."""
+def load_regions(spark: SparkSession, path: str) -> dict[str, list]:
+    """Named regions of a GeoJSON feature collection (a handful, returned to the caller): a ring, or all rings of a region with parts or holes."""
     shape = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     import json
 
     out = {}
     for i, f in enumerate(spark.read.schema(shape).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.*").collect()):
         props = f.properties or {}
-        ring = json.loads(f.geometry.coordinates)
-        while isinstance(ring[0][0], list):
-            ring = ring[0]
-        out[props.get("name") or props.get("id") or props.get("NAME") or f"region_{i}"] = [(float(x), float(y)) for x, y, *_ in ring]
+        parts = [json.loads(f.geometry.coordinates)]
+        while isinstance(parts[0][0][0], list):
+            parts = [p for part in parts for p in part]
+        rings = [[(float(x), float(y)) for x, y, *_ in ring] for ring in parts]
+        out[props.get("name") or props.get("id") or props.get("NAME") or f"region_{i}"] = rings[0] if len(rings) == 1 else rings
     return out
 
 
@@ -142,3 +143,37 @@ def setup_text(**settings) -> str:
 
 def run_back_trajectories(*_, **__):
     raise DataError("running the external trajectory model is out of scope; write control_text and setup_text, run it, and read its files with build_trajectory_features")
+
+
+def fetch_gdas1(date_from: date, date_to: date, folder: str, base: str, on_missing: str = "error") -> list[str]:
+    """Paths of the weekly archives that cover the dates, in order; those not in ``folder`` yet are fetched from ``base``.
+
+    A file is written as ``.part`` and renamed when whole. ``on_missing``: "error", "warn" (leave it out and say so) or "skip".
+    """
+    import os
+    import shutil
+    import urllib.error
+    import urllib.request
+
+    if on_missing not in ("error", "warn", "skip"):
+        raise ConfigError("on_missing is error, warn or skip")
+    os.makedirs(folder, exist_ok=True)
+    out = []
+    for name in gdas1_filenames(date_from, date_to):
+        path = os.path.join(folder, name)
+        if not (os.path.exists(path) and os.path.getsize(path)):
+            part = f"{path}.part"
+            try:
+                with urllib.request.urlopen(f"{base.rstrip('/')}/{name}") as src, open(part, "wb") as dst:
+                    shutil.copyfileobj(src, dst)
+                os.replace(part, path)
+            except (urllib.error.URLError, OSError) as e:
+                if os.path.exists(part):
+                    os.remove(part)
+                if on_missing == "error":
+                    raise DataError(f"{name} can't be fetched: {e}") from e
+                if on_missing == "warn":
+                    get_logger("trajectory").warning("%s can't be fetched: %s", name, e)
+                continue
+        out.append(path)
+    return out

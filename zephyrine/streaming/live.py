@@ -20,7 +20,8 @@ def sliding_means(stream: DataFrame, value: str, date: str = "date", width: str
 
 def event_sessions(stream: DataFrame, score: str, limit: float, gap: str = "1 hour", date: str = "date", late: str = "1 day", group: str | None = None) -> DataFrame:
     """([group], start, end, n, max_score, mean_score) of sessions of scores above the limit."""
-    key = col(group) if group else F.lit("all")  # session windows in a stream need a key
+    # Session windows in a stream need a key, and one that isn't folded away.
+    key = col(group) if group else F.when(col(date).isNull(), "none").otherwise("all")
     g = stream.where(finite(score) > limit).withWatermark(date, late).groupBy(key.alias("__g"), F.session_window(col(date), gap).alias("w"))
     x = g.agg(F.count("*").alias("n"), F.max(col(score)).alias("max_score"), F.avg(col(score)).alias("mean_score"))
     return x.select(*([F.col("__g").alias(group)] if group else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "max_score", "mean_score")
