@@ -27,6 +27,10 @@ from .textops import sha256, slices, words
 from .token_counts import PRE_TOKENS, UNUSUAL, encode_pre_tokens, load
 
 
+SLICE = 1 << 20
+PIECE = 5 << 20
+
+
 def zip_lines(lines: list[str]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress("\n".join(lines).encode())
 
@@ -35,15 +39,25 @@ def unzip_lines(b: bytes) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(b).decode().split("\n")
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a piece: sorted distinct word hashes, start and end of one occurrence; document and index of every word."""
-    docs, sts, ens, hs = [], [], [], []
-    for i, j in slices(offsets):
-        d, s, e, h = words(data, offsets[i : j + 1], lower=False)
-        docs.append(d + i), sts.append(s + offsets[i]), ens.append(e + offsets[i]), hs.append(h)
-    doc, st, en, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, sts, ens, hs))
-    keys, first, inverse = np.unique(h.astype(np.uint64), return_index=True, return_inverse=True)
-    return keys, st[first], en[first], doc, inverse
+def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a piece: sorted distinct word hashes, start and end of one occurrence. Only a slice's words are held at a time."""
+    hs, sts, ens = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in slices(offsets, SLICE):
+        _, st, en, h = words(data, offsets[i : j + 1], lower=False)
+        keys, first = np.unique(h.astype(np.uint64), return_index=True)
+        hs.append(keys), sts.append(st[first] + offsets[i]), ens.append(en[first] + offsets[i])
+    keys, first = np.unique(np.concatenate(hs), return_index=True)
+    return keys, np.concatenate(sts)[first], np.concatenate(ens)[first]
+
+
+def positions(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the distinct words stands at every place of a piece, and where each text's words begin."""
+    at, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for i, j in slices(offsets, SLICE):
+        doc, _, _, h = words(data, offsets[i : j + 1], lower=False)
+        at.append(np.searchsorted(keys, h.astype(np.uint64)).astype(np.int32))
+        counts.append(np.bincount(doc.astype(np.int64), minlength=j - i))
+    return np.concatenate(at), np.cumsum(np.concatenate(counts))
 
 
 @lru_cache(2)
@@ -88,14 +102,14 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     The pieces are dealt once, by name; from there they ask, and there the answers come back to them (Spark reuses the exchange).
     """
-    n_pieces = P.count_of(df, text)
+    n_pieces = P.count_of(df, text, PIECE)
     buckets = P.buckets_for(df.sparkSession, n_pieces // 8)
     n = 4 * n_pieces
-    dealt = P.cut(df, key, text, store=False).frame.repartition(n, "piece")
+    dealt = P.cut(df, key, text, store=False, most=PIECE).frame.repartition(n, "piece")
 
     def questions(piece: int, body: bytes) -> Iterator:
         _, _, data, off = P.texts_of(body)
-        keys, st, en, _, _ = distinct_words(data, off)
+        keys, st, en = distinct_words(data, off)
         at = P.bounds(keys, buckets)
         raw = data.tobytes()
         for k in range(buckets):
@@ -112,14 +126,14 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     def finish(_: int, body: bytes, answers: list) -> Iterator[pa.RecordBatch]:
         key_of, null, data, off = P.texts_of(body)
-        words_, _, _, doc, inverse = distinct_words(data, off)
+        words_, _, _ = distinct_words(data, off)
         parts = [P.split(b) for *_, b in answers]
         P.check([d for d, _ in parts], words_)
         ids = [x for _, b in parts for x in unzip_lines(b)]
         pieces_of = vocabulary(tokenizer)
         decoded = [" ".join([pieces_of[int(i)] for i in x.split()]) for x in ids]
         sizes = np.array([x.count(" ") + 1 if x else 0 for x in ids] or [0], np.int64)
-        edges = np.searchsorted(doc, np.arange(len(key_of) + 1))
+        inverse, edges = positions(data, off, words_)
         cols: list[list] = [[], [], [], [], []]
         for i in range(len(key_of)):
             own = inverse[edges[i] : edges[i + 1]]

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from .spill import stored
-from .textops import absent, columns, frugal, mix
+from .textops import absent, columns, frugal, give_back, mix
 
 ROW = "piece long, bucket int, kind int, body binary"
 NAMES = ["piece", "bucket", "kind", "body"]
@@ -250,6 +250,7 @@ def reunite(frame: DataFrame, answers: DataFrame, n: int, finish: Callable[[int,
     def run(piece, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         held = sorted(theirs.select(NAMES).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
         out = [b for body in mine.column("body").to_pylist() for b in finish(piece[0].as_py(), body, [tuple(r.values()) for r in held])]
+        give_back()
         return pa.Table.from_batches(out).cast(kinds) if out else kinds.empty_table()
 
     dealt = answers.repartition(n, "piece")

@@ -42,6 +42,13 @@ def _libc():
         return None
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if (lib := _libc()) is not None:
+        lib.malloc_trim(0)
+
+
 def frugal(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A function for ``mapInArrow`` that gives the memory it used back to the system at its end.
 
@@ -50,13 +57,10 @@ def frugal(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
 
     @functools.wraps(run)
     def inner(batches, *args, **kw):
-        lib = _libc()
         try:
             yield from run(batches, *args, **kw)
         finally:
-            pa.default_memory_pool().release_unused()
-            if lib is not None:
-                lib.malloc_trim(0)
+            give_back()
 
     return inner
 
