@@ -91,6 +91,27 @@ def test_token_counts(docs, small):
     assert c.count(ODD) == [len(t.encode(x, add_special_tokens=False).ids) for x in ODD]
 
 
+def test_special_strings_keep_their_spelling():
+    t, c = token_counts.load(TOKENIZER), token_counts.Counter(TOKENIZER)
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "<|StartOfText|>x", "A<|endoftext|>B c", "<|x"]
+    assert c.count(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_secret_letters_fold_as_ascii():
+    for t in ("to\u212aen=abcdefghijklmnop", "api to\u212aen=abcdefghijklmnop", "\u017fecret=abcdefghijklmnop"):
+        assert not [x for x in secrets.spans_of(t) if x[0] == "assign"]
+    assert [x[0] for x in secrets.spans_of("ToKeN=abcdefghijklmnop")] == ["assign"]
+
+
+def test_minus_one_is_an_id(spark):
+    from zephyrine.llm import katz, near_dup
+
+    d = spark.createDataFrame([(-1, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    assert {r.doc_id for r in bpe.encode(d, TOKENIZER).collect()} == {-1, 7, None}
+    assert {r.doc_id for r in katz.score(d).collect()} == {-1, 7, None}
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(d).collect()} == {(-1, -1), (7, -1), (None, None)}
+
+
 def test_whole_tokens_are_proved():
     t = token_counts.load(TOKENIZER)
     some = sorted(token_counts.whole_tokens(TOKENIZER))[::997]
