@@ -192,6 +192,42 @@ def test_self_closed_foreign_elements():
     assert html_text.extract("<article><p>The sea.</p><script src=x />no</script><p>The end.</p></article>") == "The sea.\nThe end."
 
 
+def test_marks_by_whole_parts():
+    sea = "<article><p>The sea is in the north.</p></article>"
+    for c in ("content with-sidebar", "has-sidebar", "content sidebar-right", "layout sidebar-left", "no-header"):
+        assert html_text.extract(f'<div class="{c}">{sea}</div>') == "The sea is in the north."
+    for c in ("comments", "user-comments", "comment content"):
+        assert html_text.extract(f'<div class="{c}">{sea}</div>') == ""
+    head = '<div class="{}"><h1>Title here</h1></div>'
+    assert html_text.extract(f"<article>{head.format('entry-header')}<p>The sea.</p></article>") == "Title here\nThe sea."
+    assert html_text.extract(f"<main>{head.format('site-sidebar')}<p>The sea.</p></main>") == "The sea."
+    assert html_text.extract(f'<div class="related">{sea}</div><main><p>The land.</p></main>') == "The land."
+
+
+def test_formulas_and_unquoted_values():
+    assert html_text.extract("<article><p>The sea <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> is.</p></article>") == "The sea x=1 is."
+    link = "The sea is in the north of the land and it is as cold as it was in the past. " * 4
+    assert html_text.extract(f"<div><p><a href=/foo/>{link}</a></p></div>") == ""
+    assert html_text.extract(f'<div><p><a name="x"/>{link}</p></div>') == link.strip()
+
+
+def test_long_and_broken_pages():
+    text = "The sea is in the north of the land. " * 50_000
+    assert html_text.extract(f"<article><p>{text}</p></article>") == text.strip()
+    assert html_text.extract("<article><p>The sea." + "<b>" * 200_000 + "</i>" * 200_000) == "The sea."
+    assert html_text.extract("<article>" + "<p>The sea." * 50_000) == "\n".join(["The sea."] * 50_000)
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string, key string, text string, n_chars string"
+    rows = [(1, "u", PAGE, "a", "b", "c"), (1, "u", PAGE, "a", "b", "c"), (None, None, "<p>", None, None, None), (-1, "v", "", "a", None, "")]
+    got = html_text.extract_text(spark.createDataFrame(rows, schema))
+    text = html_text.extract(PAGE)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (-1, "v", "", 0)], key=str)
+    assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_empty_tables(nothing):
     assert repetition.quality_rules(nothing).count() == 0
     assert token_counts.count_tokens(nothing, TOKENIZER).count() == 0

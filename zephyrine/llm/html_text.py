@@ -2,15 +2,19 @@
 
 The page is cut into blocks at block-level tags. Scripts, styles, and containers that by element
 or by class, id or role are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments are dropped with all they hold. First pass: by length, link density and stop-word density
+comments are dropped with all they hold. A mark counts part by part of a name (``site-footer``), but not behind ``with``, ``has``
+or ``no``; ``header`` is none in an article or beside a word for one (``entry-header``), and a mark of the layout (``sidebar-right``)
+is none beside a name of the content. First pass: by length, link density and stop-word density
 a block is good, bad, near-good or short. Second pass: near-good and short blocks, which are
 ambiguous, take the label that the nearest decided neighbours on both sides agree on; if they differ, near-good
 blocks are kept and short ones follow the nearer neighbour (the one before it on a tie). Where a page
 marks its article (``article`` or ``main`` with text), only blocks in it count, its edges count as
-good neighbours, and a long block without stop words is ambiguous rather than bad.
+good neighbours, and a long block without stop words is ambiguous rather than bad. If nothing is good, but a container dropped
+by its class, id or role holds an article, that one is taken, with what the rules keep of it.
 
 Null or empty html gives an empty text. Broken markup (tags never closed, or cut off) is read as
-browsers do. Whole pages are read; nothing is capped. Repeated rows give repeated results, other
+browsers do, but that ``<b/>`` ends at once where the slash is no part of a value. Formulas keep their text. Whole pages are read
+in one pass over the tags; nothing is capped. Repeated rows give repeated results, other
 columns are not read.
 """
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,15 +41,24 @@ STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws.split())
 
 #: Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml textarea title object canvas audio video".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 OUT = frozenset("nav footer aside form button select fieldset menu dialog head".split())
 #: Words in class, id and role that mark what isn't the article.
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar sidebar side aside widget widgets related recommended recommendations trending share sharing social comment comments respond disqus replies footer header masthead topbar complementary contentinfo search form copyright skip".split())
+#: Marks of reader comments, of the layout, words for the article, and words that turn the mark behind them.
+COMMENTS = frozenset("comment comments respond disqus replies".split())
+LAYOUT = frozenset("sidebar side aside nav navbar menu header".split())
+CONTENT = frozenset("article content entry post story".split())
+TURN = frozenset("with without has no".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
+CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
+#: How an element is hidden: not at all, by a mark outside any article, or for good.
+SHOWN, MARKED, GONE = 0, 1, 2
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.25
@@ -52,50 +66,75 @@ LINKS_HIGH = 0.4
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "article", "label")
+    __slots__ = ("text", "linked", "heading", "article", "marked", "label")
 
-    def __init__(self, text: str, linked: int, heading: bool, article: bool):
-        self.text, self.linked, self.heading, self.article, self.label = text, linked, heading, article, ""
+    def __init__(self, text: str, linked: int, heading: bool, article: bool, marked: bool):
+        self.text, self.linked, self.heading, self.article, self.marked, self.label = text, linked, heading, article, marked, ""
 
 
-def dropped(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element isn't part of an article."""
+def marks(names: list[str], in_article: bool) -> set[str]:
+    """The words in class, id and role names by which an element isn't part of an article."""
+    content = any(n in CONTENT for n in names)
+    found = set()
+    for n in names:
+        parts = [x for x in re.split(r"[_\-:]+", n) if x]
+        beside = in_article or not CONTENT.isdisjoint(parts)
+        for before, x in zip(["", *parts], parts, strict=False):
+            if x in HINTS and before not in TURN and not (x == "header" and beside) and not (content and x in LAYOUT):
+                found.add(x)
+    return found
+
+
+def hiding(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element isn't part of an article, and if so, for good or by a mark only."""
     if name in OUT or (name == "header" and not in_article):
-        return True
+        return GONE
     if name in ("html", "body", "article", "main") and not re.search(r"comment|repl(?:y|ies)", attributes, re.I):
-        return False
+        return SHOWN
     if "=" in attributes and (found := NAMES.findall(attributes)):
-        return any(t in HINTS for f in found for t in re.split(r"[\s_\-:]+", "".join(f).lower()))
-    return False
+        why = marks([x for f in found for x in "".join(f).lower().split()], in_article)
+        if why:
+            return MARKED if name in BLOCK and not in_article and COMMENTS.isdisjoint(why) else GONE
+    return SHOWN
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, without dropped containers."""
+    """The page's blocks in order, without what is hidden for good."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = hidden = depth = heading = 0
+    linked = links = gone = marked = depth = heading = 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, bool(heading), depth > 0))
+            out.append(Block(text, linked, bool(heading), depth > 0, marked > 0))
         parts.clear()
         linked = 0
 
-    def leave(name: str, was_hidden: bool) -> None:
-        nonlocal links, hidden, depth, heading
-        hidden -= was_hidden
-        depth -= name in ("article", "main")
-        links -= name == "a"
-        heading -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
+    def count(name: str, hide: int, step: int) -> None:
+        nonlocal links, gone, marked, depth, heading
+        held[name] += step
+        gone += step * (hide == GONE)
+        marked += step * (hide == MARKED)
+        depth += step * (name in ("article", "main"))
+        links += step * (name == "a")
+        heading += step * (name in HEADINGS)
+
+    def leave() -> str:
+        name, hide = stack.pop()
+        if hide == MARKED:
+            close()
+        count(name, hide, -1)
+        return name
 
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         stop = m.start() if m else n
-        if stop > at and not hidden:
+        if stop > at and not gone:
             text = entities.unescape(page[at:stop])
             parts.append(text)
             if links:
@@ -110,33 +149,28 @@ def blocks_of(page: str) -> list[Block]:
         if m[1] or m[4]:
             if name in BLOCK:
                 close()
-            if any(x[0] == name for x in stack):
-                while stack:
-                    top = stack.pop()
-                    leave(*top)
-                    if top[0] == name:
-                        break
+            if held[name]:
+                while leave() != name:
+                    pass
             continue
         if name in BLOCK:
             close()
-            while stack and (stack[-1][0] == "p" or stack[-1][0] == "li" == name or stack[-1][0] not in BLOCK and any(x[0] == "p" for x in stack)):
-                leave(*stack.pop())
+            while stack and (stack[-1][0] == "p" or stack[-1][0] == "li" == name or stack[-1][0] not in BLOCK and held["p"]):
+                leave()
         elif name == "br":
             parts.append(" ")
-        if name in ("svg", "math") and attributes.endswith("/"):
-            continue  # of all elements only foreign ones can close themselves
+        closed = CLOSED.search(attributes)
+        if name in ("svg", "math") and closed:
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID or closed:
             continue
-        hide = dropped(name, attributes, depth > 0)
+        hide = hiding(name, attributes, depth > 0)
         stack.append((name, hide))
-        hidden += hide
-        depth += name in ("article", "main")
-        links += name == "a"
-        heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        count(name, hide, 1)
     close()
     return out
 
@@ -187,7 +221,11 @@ def classify(blocks: list[Block]) -> list[Block]:
 
 
 def extract(page: str | None) -> str:
-    return "\n".join(b.text for b in classify(blocks_of(page))) if page else ""
+    if not page:
+        return ""
+    blocks = blocks_of(page)
+    good = classify([b for b in blocks if not b.marked]) or classify([b for b in blocks if b.marked and b.article])
+    return "\n".join(b.text for b in good)
 
 
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
