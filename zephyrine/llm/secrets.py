@@ -131,8 +131,8 @@ def _guess_cost(value: str, limit: float) -> float:
             if start + cost < best[j]:
                 best[j] = start + cost
                 far = max(far, j)
-            elif j > i + 1:
-                break
+            elif j > i + 1 and start + cost >= best[j] + math.log10(2):
+                break  # a span from there on is no dearer
     return best[n]
 
 
