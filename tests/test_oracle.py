@@ -6,7 +6,6 @@ from compare import connect, differs
 from zephyrine import queries as Q
 
 SQL = Q.oracle_sql()
-SLOW = {"normalise_auto", "multiscale", "fit_bayes", "fit_mlscm", "scm_all_units", "gbt_normalise"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -14,7 +13,7 @@ def test_matches_sql(spark, sf, name):
     assert differs(Q.queries()[name](spark, sf), connect(sf), SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(SQL)))
 def test_gives_rows(spark, sf, name):
     assert Q.queries()[name](spark, sf).limit(1).count() == 1
 

@@ -291,3 +291,15 @@ def test_panel_meets_tasks_by_equality(spark):
     tasks = scm.tasks_table(spark, [("t", "a", "2020-01-02", ["b"])])
     for df in (panel.did_effects(p, tasks), scm.run_tasks(p, tasks)):
         assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_absent_donors_do_not_count():
+    w = np.array([0.25, 0.75])
+    x = np.array([[1.0, 2.0], [np.nan, 4.0], [3.0, np.nan], [np.nan, np.nan]])
+    assert np.allclose(solvers.blend(x, w), [1.75, 4.0, 3.0, np.nan], equal_nan=True)
+    rng = np.random.default_rng(1)
+    donors = rng.normal(10, 1, (30, 3))
+    y = donors @ np.array([0.5, 0.5, 0.0])
+    donors[25, 0] = np.nan
+    got = solvers.fit_abadie(y, donors, np.arange(30) < 20)["synthetic"]
+    assert abs(got[25] - donors[25, 1]) < 0.1 and np.allclose(got[26:], y[26:], atol=1e-3)

@@ -110,11 +110,18 @@ def fit_scm(y: np.ndarray, x: np.ndarray, pre: np.ndarray, covariates: np.ndarra
     return {"synthetic": synthetic, "weights": weights, "alpha": alpha}
 
 
+def blend(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted mean of the donors present in each period; NaN where none with weight is."""
+    have = np.isfinite(x)
+    total = have @ w
+    return np.where(total > 1e-12, np.where(have, x, 0.0) @ w / np.where(total > 1e-12, total, 1.0), np.nan)
+
+
 def fit_abadie(y: np.ndarray, x: np.ndarray, pre: np.ndarray) -> dict:
     rows = pre & np.isfinite(y) & np.isfinite(x).all(axis=1)
     j = x.shape[1]
     w = simplex_ls(y[rows], x[rows]) if rows.any() else np.full(j, 1 / j)
-    return {"synthetic": np.where(np.isfinite(x), x, 0.0) @ w, "weights": w}
+    return {"synthetic": blend(x, w), "weights": w}
 
 
 def fit_did(y: np.ndarray, x: np.ndarray, pre: np.ndarray) -> dict:
@@ -203,7 +210,7 @@ def fit_bayes(y: np.ndarray, x: np.ndarray, pre: np.ndarray, concentration: floa
             scale *= 1.25 if rate < 0.15 else 0.8 if rate > 0.4 else 1.0
         if i >= burnin:
             kept_w.append(w)
-            kept_s.append(np.where(np.isfinite(x), x, 0.0) @ w)
+            kept_s.append(blend(x, w))
     s = np.array(kept_s)
     lo, hi = np.quantile(s, [(1 - level) / 2, (1 + level) / 2], axis=0)
     ws = np.array(kept_w)

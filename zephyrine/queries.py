@@ -351,15 +351,15 @@ def _(spark, sf):
     return x.select(F.to_date("date").alias("date"), _round("observed", 4).alias("observed"), _round("normalised", 3).alias("normalised"))
 
 
-@query("normalise_quantiles", _normal_sql(60, 4, agg="select cast(date as date) as date, round(1.23e-9 + avg(p), 4) as normalised, round(1.23e-9 + quantile_cont(p, 0.05), 4) as q050, round(1.23e-9 + quantile_cont(p, 0.5), 4) as q500, round(1.23e-9 + quantile_cont(p, 0.95), 4) as q950 from x group by 1"))
+@query("normalise_quantiles", _normal_sql(300, 4, agg="select cast(date as date) as date, round(1.23e-9 + avg(p), 4) as normalised, round(1.23e-9 + quantile_cont(p, 0.05), 4) as q050, round(1.23e-9 + quantile_cont(p, 0.5), 4) as q500, round(1.23e-9 + quantile_cont(p, 0.95), 4) as q950 from x group by 1"))
 def _(spark, sf):
-    x = N.normalise(daily(spark, sf), MODEL, n_samples=60, seed=4, quantiles=[0.05, 0.5, 0.95])
+    x = N.normalise(daily(spark, sf), MODEL, n_samples=300, seed=4, quantiles=[0.05, 0.5, 0.95])
     return _rounded(x, ["normalised", "q050", "q500", "q950"])
 
 
-@query("normalise_conditional", _normal_sql(40, 9, pool=_POOL.replace("from daily", "from daily where quantity > 25")))
+@query("normalise_conditional", _normal_sql(300, 9, pool=_POOL.replace("from daily", "from daily where quantity > 25")))
 def _(spark, sf):
-    return _rounded(N.normalise(daily(spark, sf), MODEL, n_samples=40, seed=9, conditional_on={"quantity": lambda c: c > 25}), ["observed", "normalised"])
+    return _rounded(N.normalise(daily(spark, sf), MODEL, n_samples=300, seed=9, conditional_on={"quantity": lambda c: c > 25}), ["observed", "normalised"])
 
 
 @query("normalise_wide", _normal_sql(3, 2, agg="select cast(date as date) as date, round(1.23e-9 + avg(case when s = 0 then p end), 4) as s0, round(1.23e-9 + avg(case when s = 1 then p end), 4) as s1, round(1.23e-9 + avg(case when s = 2 then p end), 4) as s2 from x group by 1"))
@@ -386,9 +386,9 @@ def _rolling_normal(n: int, seed: int) -> str:
     )
 
 
-@query("normalise_rolling", _rolling_normal(30, 8))
+@query("normalise_rolling", _rolling_normal(300, 8))
 def _(spark, sf):
-    x = N.normalise_rolling(daily(spark, sf), MODEL, n_samples=30, seed=8, window_days=90, every=60)
+    x = N.normalise_rolling(daily(spark, sf), MODEL, n_samples=300, seed=8, window_days=90, every=60)
     return x.select(F.to_date("date").alias("date"), "w", _round("normalised", 4).alias("normalised"))
 
 
@@ -400,7 +400,7 @@ def _(spark, sf):
 
 @query("multiscale")
 def _(spark, sf):
-    return N.multiscale(daily(spark, sf), MODEL, (30, 90, 365), n_samples=20)
+    return N.multiscale(daily(spark, sf), MODEL, (30, 90, 365), n_samples=300)
 
 
 _STATES = "select date, avg(value) as observed, avg({0}) as base, avg({1}) as s1, avg({2}) as s2 from x group by 1"
@@ -413,9 +413,9 @@ def _emission_sql(n: int, seed: int) -> str:
     return _normal_sql(n, seed, pool, agg=f", y as ({y}) select cast(date as date) as date, round(1.23e-9 + observed, 4) as observed, round(1.23e-9 + s1 - base, 4) + 0.0 as date_unix, round(1.23e-9 + s2 - s1, 4) + 0.0 as weekday, round(1.23e-9 + s2, 4) as emi_total, round(1.23e-9 + (select avg(base) from y), 3) as emi_base, round(1.23e-9 + base - (select avg(base) from y), 3) + 0.0 as emi_noise from y")
 
 
-@query("decompose_emission", _emission_sql(50, 13))
+@query("decompose_emission", _emission_sql(300, 13))
 def _(spark, sf):
-    x = D.decompose_emission(daily(spark, sf), MODEL, n_samples=50, seed=13)
+    x = D.decompose_emission(daily(spark, sf), MODEL, n_samples=300, seed=13)
     return x.select(F.to_date("date").alias("date"), _round("observed", 4).alias("observed"), (_round("date_unix", 4) + 0.0).alias("date_unix"), (_round("weekday", 4) + 0.0).alias("weekday"), _round("emi_total", 4).alias("emi_total"), _round("emi_base", 3).alias("emi_base"), (_round("emi_noise", 3) + 0.0).alias("emi_noise"))
 
 
@@ -425,9 +425,9 @@ def _meteorology_sql(n: int, seed: int) -> str:
     return _normal_sql(n, seed, agg=f", y as ({y}), z as (select *, observed - e as t, avg(observed - e) over () as b from y) select cast(date as date) as date, round(1.23e-9 + e, 4) as emi_total, round(1.23e-9 + d - e, 4) + 0.0 as discount, round(1.23e-9 + q - d, 4) + 0.0 as quantity, round(1.23e-9 + t, 4) + 0.0 as met_total, round(1.23e-9 + b, 3) + 0.0 as met_base, round(1.23e-9 + t - b - (q - e), 3) + 0.0 as met_noise from z")
 
 
-@query("decompose_meteorology", _meteorology_sql(50, 17))
+@query("decompose_meteorology", _meteorology_sql(300, 17))
 def _(spark, sf):
-    x = D.decompose_meteorology(daily(spark, sf), MODEL, n_samples=50, seed=17)
+    x = D.decompose_meteorology(daily(spark, sf), MODEL, n_samples=300, seed=17)
     return x.select(F.to_date("date").alias("date"), *((_round(c, 4) + 0.0).alias(c) for c in ("emi_total", "discount", "quantity", "met_total")), *((_round(c, 3) + 0.0).alias(c) for c in ("met_base", "met_noise")))
 
 
@@ -560,7 +560,7 @@ def _one_fit(method: str, **settings):
     return run
 
 
-for _m, _kw in {"scm": {}, "abadie": {}, "robust": {}, "mcnnm": {}, "bayes": {"draws": 400, "burnin": 200}, "mlscm": {}}.items():
+for _m, _kw in {"scm": {}, "abadie": {}, "robust": {}, "mcnnm": {}, "bayes": {}, "mlscm": {}}.items():
     query(f"fit_{_m}")(_one_fit(_m, **_kw))
 
 
@@ -610,7 +610,7 @@ def _(spark, sf):
 
 @query("anomaly_isolation")
 def _(spark, sf):
-    return E.isolation_scores(hourly(spark, sf), "value", trees=20)
+    return E.isolation_scores(hourly(spark, sf), "value")
 
 
 @query("anomaly_stl")
