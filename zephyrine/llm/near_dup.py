@@ -355,25 +355,36 @@ def _settle(agree_of, least: int, judge):
     ``judge(bodies)`` gives a function of a row and others: which of them are truly similar to it.
     """
 
+    def near(small: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+        return others[agree_of(small[others], np.broadcast_to(small[x], (len(others), small.shape[1]))) >= least] if len(others) else others
+
     def whole(rows: list[np.ndarray], bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        i, j = _candidates(rows, agree_of, least)
-        if not len(i):
+        # Rows are held against the others one by one, so memory grows with the rows, not the pairs. The first pass counts
+        # open pairs: of any two components, one isn't the largest. The second verifies, rows with the most pairs first.
+        _, g, label, _, small = rows
+        names, size = np.unique(label, return_counts=True)
+        rest, degree = label != names[size.argmax()], np.zeros(len(g), np.int64)
+        every = np.arange(len(g))
+        for x in np.flatnonzero(rest).tolist():
+            others = near(small, x, np.flatnonzero((label != label[x]) & (~rest | (every > x))))
+            degree[x] += len(others)
+            degree[others] += 1
+        pick = np.flatnonzero(degree)
+        if not len(pick):
             return
-        g, label = rows[1], rows[2].copy()
-        true_of = judge(bodies)
+        g, label, small = g[pick], label[pick], small[pick]
+        true_of = judge([bodies[k] for k in pick.tolist()])
+        open_ = np.ones(len(pick), bool)
         a, b = [], []
-        while len(i):
-            n = np.bincount(np.concatenate((i, j)), minlength=len(g))
-            x = int(n.argmax())  # the row in most open pairs
-            mine = (i == x) | (j == x)
-            others = distinct(np.where(i[mine] == x, j[mine], i[mine]))
+        for x in np.argsort(-degree[pick], kind="stable").tolist():
+            open_[x] = False
+            others = near(small, x, np.flatnonzero(open_ & (label != label[x])))
+            if not len(others):
+                continue
             for y in others[true_of(x, others)].tolist():
                 if label[x] != label[y]:
                     a.append(g[x]), b.append(g[y])
                     label[label == label[y]] = label[x]
-            i, j = i[~mine], j[~mine]
-            open_ = label[i] != label[j]
-            i, j = i[open_], j[open_]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     @frugal
@@ -526,15 +537,22 @@ class PairJoin:
 
 
 class _Overlap:
-    """Which of several packed sets are similar enough to one of them."""
-
-    def __init__(self, bodies: list[bytes], percent: int):
-        parts = [unpack_sorted(b) for b in bodies]
+    """Which of several packed sets are similar enough to one of them. Sets are held as places of four bytes among all distinct elements."""
+
+    def __init__(self, bodies: list[bytes], percent: int, most: int = 1 << 20):
+        known, part, held, once = np.zeros(0, U), [], 0, True
+        for b in bodies:
+            part.append(unpack_sorted(b))
+            held += len(part[-1])
+            if held > max(most, len(known)):
+                known, part, held, once = distinct(np.concatenate([known, *part])), [], 0, False
+        known = distinct(np.concatenate([known, *part]))
+        places = [np.searchsorted(known, s).astype(np.int32) for s in (part if once else map(unpack_sorted, bodies))]
         self.percent = percent
-        self.size = np.array([len(p) for p in parts], np.int64)
+        self.size = np.array([len(p) for p in places], np.int64)
         self.stops = np.concatenate(([0], np.cumsum(self.size)))
-        _, self.flat = np.unique(np.concatenate(parts), return_inverse=True)
-        self.mark = np.zeros(int(self.flat.max()) + 1, bool)
+        self.flat = np.concatenate(places)
+        self.mark = np.zeros(len(known), bool)
 
     def __call__(self, x: int, others: np.ndarray) -> np.ndarray:
         own = self.flat[self.stops[x] : self.stops[x + 1]]
