@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import SCHEMA, rows, words
 
@@ -268,3 +269,32 @@ def test_decontamination_of_full_blocks(spark):
     texts = [(i, f"{make(r.randint(0, 60))} {t} {make(r.randint(0, 60))}") for i, t in items]
     got = {(x.doc_id, x.item_id) for x in latent.search(spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string"), k=64, block=256).collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_overlap_of_packed_sets(most):
+    r = np.random.default_rng(11)
+    sets = [np.unique(r.integers(0, 3000, r.integers(1, 400)).astype(np.uint64) * np.uint64(2**50 + 7)) for _ in range(40)]
+    overlap = near_dup._Overlap([pieces.pack_sorted(s) for s in sets], 20, most)
+    for x in range(40):
+        others = np.array([y for y in range(40) if y != x])
+        assert overlap(x, others).tolist() == [100 * len(np.intersect1d(sets[x], sets[y])) >= 20 * len(np.union1d(sets[x], sets[y])) for y in others]
+
+
+def test_units_are_settled_whole():
+    """Whatever batches a unit comes in, true links and labels give the same components as all pairs do."""
+    r = random.Random(12)
+    for n in (2, 9, 60):
+        true = {(i, j) for i in range(n) for j in range(n) if i < j and r.random() < 1.5 / n}
+        label = [0 if i < n // 3 else i for i in range(n)]
+
+        def judge(bodies, true=true):
+            names = [int(b) for b in bodies]
+            return lambda x, others: np.array([(min(names[x], names[y]), max(names[x], names[y])) in true for y in others.tolist()], bool)
+
+        cols = [pa.array([5] * n), pa.array(range(n)), pa.array(label), pa.array(range(n)), pa.array([b"x"] * n, pa.binary()), pa.array([str(i).encode() for i in range(n)], pa.binary())]
+        b = pa.RecordBatch.from_arrays(cols, [*near_dup.MEMBERS, "body"])
+        run = near_dup._settle(lambda x, y: np.full(len(x), 64), 35, judge)
+        got = [(x["a"], x["b"]) for out in run([b.slice(0, 1), b.slice(1)]) for x in out.to_pylist()]
+        known = [(i, label[i]) for i in range(n)]
+        assert components_of(n, known + got) == components_of(n, known + list(true)) and all((min(p), max(p)) in true for p in got)
