@@ -298,3 +298,27 @@ def test_units_are_settled_whole():
         got = [(x["a"], x["b"]) for out in run([b.slice(0, 1), b.slice(1)]) for x in out.to_pylist()]
         known = [(i, label[i]) for i in range(n)]
         assert components_of(n, known + got) == components_of(n, known + list(true)) and all((min(p), max(p)) in true for p in got)
+
+
+def test_only_open_pairs_travel_with_their_sets(spark):
+    """Members without a pair that may be similar ask for no set, and a pair that many nodes hold is verified once."""
+    asked, dealt = [], []
+
+    class Stub(near_dup.PairJoin):
+        agree_of = staticmethod(lambda x, y: np.where(x[:, 0] == y[:, 0], 64, 0))
+
+        def bodies(self, need):
+            asked.extend(x.g for x in need.collect())
+            return spark.createDataFrame([(g, str(g).encode()) for g in range(40)], "g long, body binary")
+
+        def judge(self):
+            return lambda bodies: lambda x, others: np.ones(len(others), bool)
+
+        def link(self, links):
+            dealt.extend((x.a, x.b) for x in links.collect())
+
+    kind = lambda g: bytes([7 if g in (3, 5) else 9 if g in (20, 21, 22) else 100 + g])
+    units = [(path, g, g, kind(g)) for path in range(12) for g in range(40)]
+    Stub().settle(spark.createDataFrame(units, "path long, g long, key long, small binary"))
+    assert sorted(asked) == [3, 5, 20, 21, 22]
+    assert len(dealt) == 3 and components_of(40, dealt) == components_of(40, [(3, 5), (20, 21), (21, 22)])
