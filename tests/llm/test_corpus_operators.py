@@ -271,6 +271,61 @@ def test_decontamination_of_full_blocks(spark):
     assert got == {(i, i) for i, _ in items}
 
 
+def plain_passages(texts, width, step):
+    """Word counts of every passage: (text, Counter)."""
+    return [(i, Counter(w[a : a + width])) for i, t in texts if (w := words(t)) for a in range(0, len(w), step)]
+
+
+def test_fit_takes_passages_of_all_documents(spark, monkeypatch):
+    """Twelve of 2412 documents hold what the vectors outside the windows' space should be: as much of it as by an exact SVD."""
+    r = random.Random(14)
+    vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    items = [(i, " ".join(vocab[i * 50 : i * 50 + 50])) for i in range(3)]
+    texts = [(i, " ".join(f"x{r.randrange(500)}" for _ in range(9)) + " " + r.choice(vocab)) for i in range(2400)]
+    texts += [(5000 + i, " ".join([vocab[4 * i], vocab[4 * i + 50], "x1", "x2"] * 150)) for i in range(12)]
+    seen, real = [], latent.fit
+    monkeypatch.setattr(latent, "fit", lambda *a, **kw: seen.append((a[1], a[2], real(*a, **kw))) or seen[-1][2])
+    latent.search(spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string"), k=15)
+    ((it, idf, v),) = seen
+    at = {w: int(np.flatnonzero(it.terms == latent.Items._hashes(w)[0])[0]) for _, t in items for w in t.split()}
+    x = np.zeros((len(plain_passages(texts, 50, 50)), len(it.terms)))
+    for row, (_, c) in enumerate(plain_passages(texts, 50, 50)):
+        for w, n in c.items():
+            if w in at:
+                x[row, at[w]] = n * idf[at[w]]
+    own = np.zeros((3, len(it.terms)))
+    for row, (_, t) in enumerate(items):
+        own[row, [at[w] for w in t.split()]] = [idf[at[w]] for w in t.split()]
+    q, _ = np.linalg.qr(own.T)
+    rest = x - x @ q @ q.T
+    best = (np.linalg.svd(rest, compute_uv=False)[:12] ** 2).sum()
+    assert v.shape == (150, 15) and np.allclose(v.T @ v, np.eye(15), atol=1e-4) and np.allclose(v @ (v.T @ q), q, atol=1e-4)
+    assert 0.99 * best <= (np.linalg.norm(rest @ v) ** 2) <= 1.001 * best
+
+
+def test_candidates_against_brute_force(spark):
+    """Every text and item of which a passage and a window have the cosine, by plain counts, is a candidate."""
+    r = random.Random(15)
+    vocab = [f"w{i}" for i in range(400)]
+    make = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, make(r.randint(10, 130))) for i in range(15)]
+    texts = []
+    for i in range(60):
+        w = items[i % 15][1].split()
+        texts.append((i, make(r.randint(0, 90)) + " " + " ".join(x for x in w[r.randrange(len(w)) :] if r.random() < 0.7) + " " + make(20)))
+    df = Counter(x for _, t in texts for x in set(words(t)))
+    idf = lambda x: math.log((len(texts) + 1) / (df[x] + 1)) + 0.1
+    norm = lambda c: math.sqrt(sum((n * idf(x)) ** 2 for x, n in c.items()))
+    windows = [(i, Counter(t.split()[s : s + 50])) for i, t in items for s in latent.Items.windows_of(len(t.split()), 50)]
+    want = set()
+    for d, p in plain_passages(texts, 50, 25):
+        for i, w in windows:
+            if sum(n * w[x] * idf(x) ** 2 for x, n in p.items()) >= 0.3501 * norm(p) * norm(w):
+                want.add((d, i))
+    got = {(x.doc_id, x.item_id) for x in latent.search(spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string"), lcs=0.0, answer=0.0, sure=0.0).collect()}
+    assert len(want) > 30 and want <= got and len(got) < 2 * len(want)
+
+
 @pytest.mark.parametrize("most", [1 << 20, 50])
 def test_overlap_of_packed_sets(most):
     r = np.random.default_rng(11)
