@@ -2,11 +2,14 @@
 
 from datetime import date, datetime
 
+import duckdb
 import numpy as np
 import pytest
+from compare import differs
 from pyspark.sql import functions as F
 
 from zephyrine import errors
+from zephyrine import queries as Q
 from zephyrine.functions import features as X
 from zephyrine.models import LinearModel, PythonModel, load_model, model_hash, save_model, train_model
 from zephyrine.operators import events, joins, lags, metrics, prepare, scm, solvers
@@ -303,3 +306,21 @@ def test_absent_donors_do_not_count():
     donors[25, 0] = np.nan
     got = solvers.fit_abadie(y, donors, np.arange(30) < 20)["synthetic"]
     assert abs(got[25] - donors[25, 1]) < 0.1 and np.allclose(got[26:], y[26:], atol=1e-3)
+
+
+def half_hours(spark, path):
+    """Events at and just past the half of six hours, one after the last slot."""
+    rows = [(1, 7, "2024-01-01 03:00:00.4"), (2, 7, "2024-01-01 03:00:00"), (3, 7, "2024-01-01 09:00:00"), (4, 7, "2024-01-01 08:59:59.999999"), (5, 7, "2024-01-01 06:10:00"), (6, 7, "2024-01-01 12:00:00.5"), (7, 7, "2024-01-01 00:00:00"), (8, 8, "2024-01-02 03:00:00.000001"), (9, 8, None)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "if(event_id % 2 = 0, 'error', 'click') as event_type", "event_id / 4 as value", "'{}' as props")
+    e.coalesce(1).write.parquet(f"{path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{path}/events.parquet/*.parquet'")
+    return c
+
+
+def test_rounded_time_keeps_fractions(spark, tmp_path):
+    times = spark.createDataFrame([("2024-01-01 03:00:00",), ("2024-01-01 03:00:00.000001",), ("2024-01-01 09:00:00",), ("2024-01-01 08:59:59.999999",), ("1969-12-31 21:00:00",), ("1969-12-31 20:59:59.9",), (None,)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    got = [r[0] for r in times.select(F.date_format(joins.rounded_time(F.col("t"), 21600), "dd HH:mm:ss.SSSSSS")).collect()]
+    assert got == [f"{x}:00:00.000000" if x else None for x in ("01 00", "01 06", "01 12", "01 06", "01 00", "31 18", None)]
+    c = half_hours(spark, tmp_path)
+    assert differs(Q.queries()["rounded_time_join"](spark, str(tmp_path)), c, Q.oracle_sql()["rounded_time_join"]) is None
