@@ -324,3 +324,8 @@ def test_rounded_time_keeps_fractions(spark, tmp_path):
     assert got == [f"{x}:00:00.000000" if x else None for x in ("01 00", "01 06", "01 12", "01 06", "01 00", "31 18", None)]
     c = half_hours(spark, tmp_path)
     assert differs(Q.queries()["rounded_time_join"](spark, str(tmp_path)), c, Q.oracle_sql()["rounded_time_join"]) is None
+
+
+def test_rounded_time_meet_keeps_fractions(spark, tmp_path):
+    c = half_hours(spark, tmp_path)
+    assert differs(Q.queries()["rounded_time_meet"](spark, str(tmp_path)), c, Q.oracle_sql()["rounded_time_meet"]) is None
