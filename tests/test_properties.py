@@ -329,3 +329,11 @@ def test_rounded_time_keeps_fractions(spark, tmp_path):
 def test_rounded_time_meet_keeps_fractions(spark, tmp_path):
     c = half_hours(spark, tmp_path)
     assert differs(Q.queries()["rounded_time_meet"](spark, str(tmp_path)), c, Q.oracle_sql()["rounded_time_meet"]) is None
+
+
+def test_rounded_time_join_joins(spark, tmp_path):
+    c = half_hours(spark, tmp_path)
+    x = Q.queries()["rounded_time_join"](spark, str(tmp_path))
+    assert differs(x, c, Q.oracle_sql()["rounded_time_join"]) is None
+    # Six hours of user 7 that begin at 00, 06 and 12; the slot of event 8 lies after its user's only six hours.
+    assert sorted((r.event_id, r.slot[8:], r.n, r.value) for r in x.collect()) == [(1, "01 06", 3, 1.0), (2, "01 00", 3, 0.833333), (3, "01 12", 1, 1.5), (4, "01 06", 3, 1.0), (5, "01 06", 3, 1.0), (6, "01 12", 1, 1.5), (7, "01 00", 3, 0.833333)]
