@@ -337,3 +337,55 @@ def test_rounded_time_join_joins(spark, tmp_path):
     assert differs(x, c, Q.oracle_sql()["rounded_time_join"]) is None
     # Six hours of user 7 that begin at 00, 06 and 12; the slot of event 8 lies after its user's only six hours.
     assert sorted((r.event_id, r.slot[8:], r.n, r.value) for r in x.collect()) == [(1, "01 06", 3, 1.0), (2, "01 00", 3, 0.833333), (3, "01 12", 1, 1.5), (4, "01 06", 3, 1.0), (5, "01 06", 3, 1.0), (6, "01 12", 1, 1.5), (7, "01 00", 3, 0.833333)]
+
+
+def most_rows(df):
+    """The most rows that a node of the run plan made."""
+    df.collect()
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        m = p.metrics().get("numOutputRows")
+        kids = p.children()
+        return max([m.get().value() if m.isDefined() else 0, *(walk(kids.apply(i)) for i in range(kids.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_equal_places_meet_once(spark):
+    at = lambda i: ((i % 3 / 100.0).alias("lat"), (i % 2 / 100.0).alias("lon"))
+    i = F.col("id")
+    left = spark.range(2000).select(i, F.lit("unknown").alias("name"), *at(i))
+    right = spark.range(1000, 3000).select(i.alias("code"), F.concat(F.lit("n"), i).alias("name"), *at(i))
+    x = joins.match_or_nearest(left, right, "name")
+    assert most_rows(x) <= 2000
+    first = {(c % 3, c % 2): c for c in range(1005, 999, -1)}
+    assert {r.id: r.code for r in x.collect()} == {n: first[n % 3, n % 2] for n in range(2000)}
+
+
+def test_nearest_place_in_dense_cells(spark):
+    rng = np.random.default_rng(3)
+    # Many spots in few cells, on a fine grid (so with ties), some just below zero; a cluster far from its probes.
+    s = np.unique(np.vstack([rng.integers(-300, 300, (3000, 2)) / 1e4, rng.integers(0, 40, (400, 2)) / 1e5 + [0.215, 0.2]]), axis=0)
+    p = np.unique(np.vstack([rng.integers(-400, 400, (300, 2)) / 1e4, rng.integers(0, 40, (200, 2)) / 1e5 + 0.2, [[5.0, 5.0]]]), axis=0)
+    code = rng.permutation(len(s))
+    d = np.sqrt(((p[:, None] - s[None]) ** 2).sum(2))
+    pick = [min((round(d[i, j], 9), int(code[j])) for j in np.flatnonzero(d[i] < 0.02))[1] if (d[i] < 0.02).any() else None for i in range(len(p))]
+    spots = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(s, code, strict=True)], "x double, y double, c long")
+    probes = spark.createDataFrame([(float(a), float(b)) for a, b in p], "la double, lo double")
+    for fill in (5, 64, 10**6):
+        got = {(r.la, r.lo): r.c for r in joins.nearest_place(probes, spots, 0.02, fill).collect()}
+        assert got == {(a, b): c for (a, b), c in zip(p.tolist(), pick, strict=True) if c is not None}
+    assert most_rows(joins.nearest_place(probes, spots, 0.02, 5)) < 60 * len(p) < (d < 0.02).sum()
+
+
+def test_match_or_nearest_ties_and_gaps(spark):
+    left = spark.createDataFrame([(1, " Foo ", None, None), (2, "x", 1.03, 0.0), (3, "x", float("nan"), 0.0), (4, "x", float("inf"), 0.0), (5, None, 7.0, 7.0), (6, "x", 9.0, 9.0), (2, "x", 1.03, 0.0)], "id long, name string, lat double, lon double").withColumn("la", F.lit(-1))
+    right = spark.createDataFrame([("f2", "foo", 5.0, 5.0), ("f1", "FOO", 6.0, 6.0), ("a", "p", 1.02, 0.0), ("b", "q", 1.04, 0.0), ("c", "r", 7.0, 7.01), ("d", "s", float("nan"), 0.0), ("e", "t", None, 0.0)], "code string, name string, lat double, lon double")
+    x = joins.match_or_nearest(left, right, "name")
+    assert x.columns == ["id", "name", "lat", "lon", "la", "code"] and x.where("la <> -1").isEmpty()
+    assert sorted((r.id, r.code or "") for r in x.collect()) == [(1, "f1"), (2, "a"), (2, "a"), (3, ""), (4, ""), (5, "c"), (6, "")]
